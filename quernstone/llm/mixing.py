@@ -188,3 +188,17 @@ def report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     return left.join(taken, ["_key", "_s0", "_s1"], "left").join(goal, ["_s0", "_s1"], "left").select(
         F.col("_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), F.coalesce("blocks", zero).alias("blocks"), F.coalesce("shards", zero).alias("shards")
     )
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 1 << 30, **more) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as a block of it was drawn, all columns as they are.
+
+    With blocks as large as any document, documents are drawn whole.  Documents
+    without words have nothing to draw and are left out; rows that repeat an id
+    and a source are drawn as often, in sum, as theirs were.
+    """
+    _, _, blocks = mix(docs, id_col, text_col, source_col, block_words=block_words, **more)
+    key, source = F.coalesce(F.col("_id").cast("string"), F.lit("")), F.coalesce(F.col("_source"), F.lit(""))
+    times = blocks.groupBy(key.alias("_key"), source.alias("_s0"), F.col("_source").isNull().alias("_s1"), "block", "epoch").agg(F.count("*").alias("_n"))
+    own = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_s0", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn("_s1", F.col(source_col).isNull())
+    return own.join(times.select("_key", "_s0", "_s1", "epoch").distinct(), ["_key", "_s0", "_s1"]).select(*docs.columns)
