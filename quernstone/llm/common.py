@@ -47,7 +47,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``: for a plain scan, the bytes of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def text_or_empty(col: str) -> Column:
