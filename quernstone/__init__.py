@@ -1,0 +1 @@
+"""Retrieval-augmented text analytics on Spark DataFrames."""
