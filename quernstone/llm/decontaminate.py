@@ -166,82 +166,6 @@ def batch_filters(items: DataFrame, id_col: str, text_col: str, batch_bytes: int
         yield light if n == 1 else light.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
 
 
-def search(self, numbers: np.ndarray) -> list[tuple[int, int, list[int]]]:
-        """(start, length, items) of every occurrence in one text's word numbers."""
-        out: list[tuple[int, int, list[int]]] = []
-        for g in self.groups:
-            m, block, shift, n = g["m"], g["block"], g["shift"], len(numbers)
-            if n < m:
-                continue
-            # block starts: shift-1, 2*shift-1, ...; a window [s, s+m) holds exactly one of them at offset 0..shift-1
-            at = np.arange(shift - 1, n - block + 1, shift, dtype=np.int64)
-            live = numbers[at] > 0
-            if block == 2:
-                live &= numbers[at + 1] > 0
-            at = at[live]
-            if not len(at):
-                continue
-            h = _hash(numbers[at[:, None] + np.arange(block)])
-            k = np.searchsorted(g["keys"], h)
-            k[k == len(g["keys"])] = 0
-            hit = g["keys"][k] == h
-            at, k = at[hit], k[hit]
-            if not len(at):
-                continue
-            c = g["counts"][k]
-            where = np.repeat(g["first"][k] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-            start = np.repeat(at, c) - g["offsets"][where]
-            start = start[(start >= 0) & (start + m <= n)]
-            if not len(start):
-                continue
-            got = numbers[start[:, None] + np.arange(m)]
-            suffix = _hash(got)
-            low = np.searchsorted(g["hashes"], suffix, "left")
-            high = np.searchsorted(g["hashes"], suffix, "right")
-            for i in np.flatnonzero(high > low).tolist():
-                for p in range(low[i], high[i]):
-                    if np.array_equal(g["rows"][p], got[i]):
-                        out.append((int(start[i]), m, g["owners"][p]))
-        return out
-
-
-_FOUND = pa.schema([("row_key", pa.string()), ("text", pa.string()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-
-
-def _apart(pairs: list[tuple[int, int]]) -> list[int]:
-    """Starts and ends in turn of the union of some ranges, ascending and apart."""
-    flat: list[int] = []
-    for a, b in sorted(pairs):
-        if flat and a <= flat[-1]:
-            flat[-1] = max(flat[-1], b)
-        else:
-            flat += [a, b]
-    return flat
-
-
-def _scan(patterns: Patterns, batch: pa.RecordBatch, last: bool) -> pa.RecordBatch:
-    """The batch with what these patterns hit added to its spans and items; after the last patterns the text goes."""
-    get = patterns.vocabulary.get
-    n_words, all_spans, all_items = [], [], []
-    for text, spans, items in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-        words = words_of(text)
-        found = patterns.search(np.fromiter((get(w, 0) for w in words), np.int64, len(words))) if patterns.groups and words else []
-        n_words.append(len(words))
-        all_spans.append(_apart([*zip(spans[::2], spans[1::2], strict=True), *((s, s + m) for s, m, _ in found)]) if found else spans)
-        all_items.append(sorted({*items, *(patterns.ids[i] for _, _, owners in found for i in owners)}) if found else items)
-    text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column(1)
-    return pa.record_batch([batch.column(0), text, pa.array(n_words, pa.int64()), pa.array(all_spans, _FOUND.field("spans").type), pa.array(all_items, _FOUND.field("items").type)], schema=_FOUND)
-
-
-def batches(items: DataFrame, id_col: str, text_col: str, batch_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items on the driver, at most about ``batch_bytes`` of text at a time."""
-    light = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("string").alias("text"))
-    total = light.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // batch_bytes) or 1
-    for k in range(n):
-        part = light if n == 1 else light.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield [(r["id"], r["text"]) for r in part.collect()]
-
 
 def search(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, window: int = 10, batch_bytes: int = 32 << 20) -> DataFrame:
     """Per row of ``docs``: ``row_key`` (its id as text), ``n_words``, ``spans`` and ``items``.
