@@ -61,19 +61,22 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("dst_id").alias("node_id")), "node_id", "left_anti")
 
 
-def descend(start: DataFrame, edges: DataFrame, select: Callable[[DataFrame], DataFrame], depth: int) -> DataFrame:
+def descend(start: DataFrame, edges: DataFrame, select: Callable[[DataFrame], DataFrame], depth: int, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(query_id, node_id) after up to ``depth`` levels from ``start``.
 
     At each level the frontier's children, as (query_id, parent_id, node_id,
     ord), pass ``select``; nodes without children are carried along, branches of
-    which nothing is selected end.
+    which nothing is selected end.  ``store`` writes each level's frontier and
+    reads it again: a level reads the last one twice, so plans would double.
     """
     down = edges.where("rel = 'CHILD'").select(F.col("src_id").alias("parent_id"), F.col("dst_id").alias("child_id"), "ord")
-    frontier = start.select("query_id", "node_id")
-    for _ in range(depth):
-        leaves = frontier.join(down.select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_anti").select("query_id", "node_id")
+    frontier = store(start.select("query_id", "node_id"), "frontier-0")
+    for level in range(1, depth + 1):
         children = frontier.withColumnRenamed("node_id", "parent_id").join(down, "parent_id").select("query_id", "parent_id", F.col("child_id").alias("node_id"), "ord")
-        frontier = leaves.unionByName(select(children).select("query_id", "node_id"))
+        if children.isEmpty():
+            break
+        leaves = frontier.join(down.select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_anti").select("query_id", "node_id")
+        frontier = store(leaves.unionByName(select(children).select("query_id", "node_id")), f"frontier-{level}")
     return frontier
 
 

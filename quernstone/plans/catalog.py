@@ -543,7 +543,7 @@ def hier_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _tree(spark, sf_dir)
     edges = stored(edges, "edges")
     start = tree.roots(nodes, edges).select(F.col("key").alias("query_id"), "node_id")
-    return tree.descend(start, edges, tree.first_child, 10).select(F.col("query_id").alias("source"), "node_id")
+    return tree.descend(start, edges, tree.first_child, 10, stored).select(F.col("query_id").alias("source"), "node_id")
 
 
 @query("SELECT doc_id, unnest(CASE WHEN lang = 'en' THEN [0, 2, 2] WHEN lang = 'fr' THEN [1] ELSE []::INTEGER[] END) AS idx FROM documents")
