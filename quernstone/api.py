@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone import schema as S
 from quernstone.config import SplitterConfig, SynthesizerConfig
 from quernstone.operators import chunking, ingest, models, search, synthesis
 from quernstone.sources import readers
+from quernstone.sources.scratch import stored
 from quernstone.sources.store import StorageContext
 
 CHUNK_INDEX = "chunks"
@@ -31,13 +33,17 @@ class Engine:
         try:
             n = fresh.count()
             if n:
-                chunks = chunking.sentence_chunks(fresh, self.splitter)
-                self.context.docs.add(fresh.unionByName(chunks.drop("n_tokens")))
-                stored = self.context.docs.nodes.read().where("ref_doc_id is not null")
-                self.context.edges.write(chunking.links(stored, self.context.docs.nodes.read()))
-                vectors = models.embed(stored.select("node_id", "text"), "text", self.embedder, batch=32)
-                self.context.vectors.add(vectors)
-                members = stored.select(F.lit(CHUNK_INDEX).alias("index_id"), "node_id", F.col("ref_doc_id").alias("doc_id"))
+                chunks = stored(chunking.sentence_chunks(fresh, self.splitter).dropDuplicates(["node_id"]), "chunks")
+                # a document of one chunk has the chunk's id, and the chunk stays
+                whole = fresh.join(chunks.select("node_id"), "node_id", "left_anti").select(*S.NODES.fieldNames())
+                self.context.docs.add(whole.unionByName(chunks.drop("n_tokens")))
+                pieces = chunks.where("ref_doc_id is not null")
+                links = chunking.links(pieces, fresh)
+                kept = self.context.edges.read().join(pieces.select(F.col("node_id").alias("src_id")), "src_id", "left_anti").select(*S.EDGES.fieldNames())
+                self.context.edges.write(kept.unionByName(links))
+                self.context.vectors.add(models.embed(pieces.select("node_id", "text"), "text", self.embedder, batch=32))
+                known = self.context.docs.nodes.read().where("ref_doc_id is not null")
+                members = known.select(F.lit(CHUNK_INDEX).alias("index_id"), "node_id", F.col("ref_doc_id").alias("doc_id"))
                 index = self.spark.range(1).select(F.lit(CHUNK_INDEX).alias("index_id"), F.lit(None).cast("string").alias("summary"), F.create_map().cast("map<string,string>").alias("extra"))
                 self.context.indexes.put(index, members)
                 self.context.cache.write(ingest.upsert(self.context.cache.read(), hashes, "node_id"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quernstone import schema as S
+
+if TYPE_CHECKING:
+    from quernstone.sources.store import StorageContext
+
 FANOUT = 5
 
 
@@ -80,6 +88,44 @@ def descend(start: DataFrame, edges: DataFrame, select: Callable[[DataFrame], Da
     return frontier
 
 
+def index_id(root_ids: list[str]) -> str:
+    """A tree's name: the same for the same roots, in any order."""
+    return "hidx_" + hashlib.sha256(",".join(sorted(root_ids)).encode()).hexdigest()[:12]
+
+
+def save(nodes: DataFrame, edges: DataFrame, context: StorageContext) -> str:
+    """Keeps a tree's summaries, its edges in both directions and its descriptor; returns the index id.
+
+    The descriptor lists the roots, one for each key of the leaves.
+    """
+    found = sorted(r["node_id"] for r in roots(nodes, edges).select("node_id").collect())
+    name = index_id(found)
+    none = F.lit(None)
+    made = nodes.where("level > 0").select(
+        "node_id", F.col("node_id").alias("node_hash"), F.lit(S.TEXT).alias("kind"), "text", none.cast("binary").alias("bytes"), none.cast("array<int>").alias("tokens"), S.metadata().alias("metadata"),
+        F.array().cast("array<string>").alias("excl_embed"), F.array().cast("array<string>").alias("excl_llm"), none.cast("string").alias("ref_doc_id"), F.col("ord").cast("int").alias("ord"),
+    )
+    context.docs.add(made)
+    text = F.lit("Text").alias("dst_type")
+    down = edges.select("src_id", "rel", F.col("ord").cast("int").alias("ord"), "dst_id", text, none.cast("string").alias("dst_hash"))
+    up = edges.select(F.col("dst_id").alias("src_id"), F.lit("PARENT").alias("rel"), F.col("ord").cast("int").alias("ord"), F.col("src_id").alias("dst_id"), text, none.cast("string").alias("dst_hash"))
+    kept = context.edges.read().join(down.unionByName(up).select("src_id", "rel", "dst_id"), ["src_id", "rel", "dst_id"], "left_anti").select(*S.EDGES.fieldNames())
+    context.edges.write(kept.unionByName(down).unionByName(up))
+    spark = nodes.sparkSession
+    index = spark.range(1).select(F.lit(name).alias("index_id"), none.cast("string").alias("summary"), F.create_map(F.lit("root_node_ids"), F.lit(json.dumps(found))).alias("extra"))
+    context.indexes.put(index, nodes.select(F.lit(name).alias("index_id"), "node_id", none.cast("string").alias("doc_id")))
+    return name
+
+
+def restore(context: StorageContext, name: str) -> tuple[DataFrame, DataFrame]:
+    """(roots, edges) of a kept tree, ready for :func:`descend`; an unknown id is a KeyError."""
+    found = json.loads(context.indexes.get(name)["extra"]["root_node_ids"])
+    members = context.indexes.members.read().where(F.col("index_id") == name).select("node_id")
+    edges = context.edges.read().where("rel = 'CHILD'").join(members.withColumnRenamed("node_id", "src_id"), "src_id", "left_semi")
+    spark = members.sparkSession
+    return spark.createDataFrame([(r,) for r in found], "node_id string"), edges
+
+
 def first_child(children: DataFrame) -> DataFrame:
     """A selector that takes each parent's first child."""
     return children.groupBy("query_id", "parent_id").agg(F.min_by("node_id", "ord").alias("node_id"))
