@@ -166,7 +166,6 @@ def batch_filters(items: DataFrame, id_col: str, text_col: str, batch_bytes: int
         yield light if n == 1 else light.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
 
 
-
 def search(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, window: int = 10, batch_bytes: int = 32 << 20) -> DataFrame:
     """Per row of ``docs``: ``row_key`` (its id as text), ``n_words``, ``spans`` and ``items``.
 
@@ -239,4 +238,3 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
 
         out = out.mapInArrow(scan, schema)
     return out
-

@@ -199,6 +199,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     _, _, blocks = mix(docs, id_col, text_col, source_col, block_words=block_words, **more)
     key, source = F.coalesce(F.col("_id").cast("string"), F.lit("")), F.coalesce(F.col("_source"), F.lit(""))
-    times = blocks.groupBy(key.alias("_key"), source.alias("_s0"), F.col("_source").isNull().alias("_s1"), "block", "epoch").agg(F.count("*").alias("_n"))
-    own = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_s0", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn("_s1", F.col(source_col).isNull())
-    return own.join(times.select("_key", "_s0", "_s1", "epoch").distinct(), ["_key", "_s0", "_s1"]).select(*docs.columns)
+    times = blocks.select(key.alias("_key"), source.alias("_s0"), F.col("_source").isNull().alias("_s1"), "epoch").distinct()
+    # rows go into a struct, so their columns may have any names
+    own = docs.select(
+        F.struct("*").alias("_row"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("_key"),
+        F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("_s0"), F.col(f"`{source_col}`").isNull().alias("_s1"),
+    )
+    return own.join(times, ["_key", "_s0", "_s1"]).select("_row.*")

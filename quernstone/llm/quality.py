@@ -200,6 +200,18 @@ def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, their columns as they are."""
-    model = train(docs, labels, id_col, text_col, **more)
-    return score(docs, model, text_col, "_quality").where(F.col("_quality") >= threshold).select(*docs.columns)
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns as they are, whatever their names.
+
+    Null and empty texts are scored like any other; repeated rows are judged
+    alike; an empty table stays empty.
+    """
+    at, sent = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, **more))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for k in range(0, b.num_rows, 500):
+                s = b.slice(k, 500)
+                x = np.array([features(t) for t in s.column(at).cast(pa.binary()).to_pylist()], np.float32).reshape(-1, N_FEATURES)
+                yield s.filter(pa.array(sent.value.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

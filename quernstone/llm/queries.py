@@ -22,7 +22,7 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(_read(spark, sf_dir, "documents"))
+    return mixing.report(_read(spark, sf_dir, "documents")).drop("shards")  # which shards comes of random splits, beyond SQL
 
 
 def op3_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +80,54 @@ taken AS (SELECT s.doc_id, sum(s.words) AS taken, count(*) AS blocks FROM summed
 """
 
 
+def _op8() -> str:
+    """Places as sums of the lengths of the pieces between matches and of the matches before."""
+    parts, quote = [], lambda x: "'" + x.replace("'", "''") + "'"
+    for rank, (kind, pattern, group, least) in enumerate(secrets.KINDS):
+        p = quote(pattern)
+        parts.append(f"""SELECT row, owner, repo, {rank} AS rank, '{kind}' AS kind, start, start + length(m) AS stop, sha256(v) AS secret FROM (
+  SELECT row, owner, repo, m[i] AS m, v[i] AS v, CAST(list_sum(list_transform(list_slice(pieces, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT row, owner, repo, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS v, regexp_split_to_array(t, {p}) AS pieces FROM d WHERE regexp_matches(t, {p})), LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i))
+WHERE length(v) >= {least}""")
+    listed = lambda where: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE {where}), '')"
+    n = ", ".join(f"count(*) FILTER (WHERE kind = '{k[0]}') AS n_{k[0]}" for k in secrets.BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+k AS (SELECT secret, count(DISTINCT owner) AS owners FROM f GROUP BY secret),
+g AS (SELECT row, {n}, {listed(f"rank < {len(secrets.BASE)}")} AS base, {listed("true")} AS spans,
+  count(*) FILTER (WHERE owners < 3) AS n_live, count(*) FILTER (WHERE owners >= 3) AS n_example, max(owners) AS most_owners FROM f JOIN k USING (secret) GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most_owners, 0) AS most_owners FROM d LEFT JOIN g USING (row)"""
+
+
+_OP9 = r"""
+WITH w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+p AS (SELECT item, m, unnest(list_transform(range(1, len(words) - m + 2), lambda i: array_to_string(list_slice(words, i, i + m - 1), ' '))) AS gram FROM (SELECT *, least(10, len(words)) AS m FROM b WHERE len(words) > 0)),
+x AS (SELECT row, m, unnest(range(1, len(words) - m + 2)) AS i, unnest(list_transform(range(1, len(words) - m + 2), lambda i: array_to_string(list_slice(words, i, i + m - 1), ' '))) AS gram FROM w, (SELECT DISTINCT m FROM p) WHERE len(words) >= m),
+h AS (SELECT row, x.m, i, item FROM x JOIN p ON x.m = p.m AND x.gram = p.gram),
+n AS (SELECT row, count(DISTINCT pos) AS n_hit FROM (SELECT row, unnest(range(i, i + m)) AS pos FROM (SELECT DISTINCT row, m, i FROM h)) GROUP BY row),
+o AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM h) GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN n USING (row) LEFT JOIN o USING (row)"""
+
+
+def _op10() -> str:
+    """The owners of the slots stand in the statement; a test fills the table by hand."""
+    owner = ", ".join(map(str, placement.fill(SHARDS, SLOTS)))
+    return f"""
+WITH s AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {SLOTS} AS slot FROM documents),
+o AS (SELECT [{owner}] AS owner), p AS (SELECT s.*, CAST(owner[slot + 1] AS INTEGER) AS shard FROM s, o)
+SELECT doc_id, n_bytes, slot, shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 2, '0') AS shard_name FROM p"""
+
+
 def sql() -> dict[str, str]:
     return {
+        "op2_mixing": _OP2 + "SELECT doc_id, size, s.source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, coalesce(blocks, 0) AS blocks FROM sized z JOIN goals s ON z.source IS NOT DISTINCT FROM s.source LEFT JOIN taken USING (doc_id)",
+        "op8_secrets": _op8(),
+        "op9_decontamination": _OP9,
+        "op10_sharding": _op10(),
         "op3_mtree_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)), true)),

@@ -260,16 +260,17 @@ def near_tables() -> list[list[int]]:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their group; all their columns stay.
 
-    Of rows that repeat that id one stays.  Rows with a null id stay only where
-    their whole group has no id, and then one of each text.
+    Of rows that repeat that id one stays.  Rows with a null id can't be named
+    by a group, and one of each text stays.  An empty table stays empty.
     """
     more = {**NEAR, "tables": near_tables(), **more}
     groups = common.stored(group(docs, id_col, text_col, **more), "groups")
     keep = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep"))
-    named = docs.join(keep.distinct(), docs[id_col] == F.col("_keep"), "left_semi")
+    # rows go into a struct, so their columns may have any names
+    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    named = rows.join(keep.distinct(), F.col("_id") == F.col("_keep"), "left_semi")
     if not keep.groupBy("_keep").count().where("count > 1").isEmpty():
-        named = named.dropDuplicates([id_col])
-    if groups.where("component_id is null").isEmpty():
-        return named
-    lost = groups.where(F.col(id_col).isNull() & F.col("component_id").isNull())
-    return named.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col])) if not lost.isEmpty() else named
+        named = named.dropDuplicates(["_id"])
+    if not groups.where(F.col(id_col).isNull()).isEmpty():
+        named = named.unionByName(rows.where("_id is null").dropDuplicates(["_text"]))
+    return named.select("_row.*")
