@@ -252,9 +252,16 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 NEAR = {"words": 5, "bits": 256, "distance": 46}
 
 
-def near_tables() -> list[list[int]]:
-    """64 tables of 12 two-bit segments: of pairs with a tenth of their bits apart, over 99 % share a cell of some table."""
-    return sampled(NEAR["bits"], 64, 12)
+def near_tables(tables: int = 96, coordinates: int = 10) -> list[list[int]]:
+    """Tables of two-bit segments for the sampled grid.
+
+    Two texts whose shingles have a similarity of 0.8 keep a segment's count with
+    a probability of 0.73, so of such pairs 98 % share a cell of some table, and
+    of more similar ones almost all do.  A table has 2^(1.4 * coordinates) cells
+    or so; for more than some millions of distinct texts take more coordinates,
+    and log(1 - recall) / log(1 - 0.73^coordinates) tables to keep the recall.
+    """
+    return sampled(NEAR["bits"], tables, coordinates)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
