@@ -22,6 +22,7 @@ for each source and epoch, and makes (sources x epochs x shards) quotas.
 from __future__ import annotations
 
 import json
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Blocks that a bucket holds on average; the buckets' number follows the input.
+#: Fewest blocks that a bucket holds on average.  Buckets hold the square root of all blocks, and so many they are: neither sums over buckets nor ranks within one grow in step with the input.
 BUCKET_BLOCKS = 512
 
 
@@ -80,7 +81,7 @@ def draws(sized: DataFrame, goal: DataFrame, block_words: int, repeats: int, see
     words = F.least(F.lit(block_words), F.col("size") - F.col("block") * block_words).cast("long")
     rows = rows.select("_id", "_source", "epoch", "block", words.alias("words"), _hash(seed, F.col("epoch"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("block")).alias("_h"))
     total = sized.agg(F.sum(F.ceil(F.col("size") / block_words))).first()[0] or 0
-    span = (1 << 60) // max(1, total // BUCKET_BLOCKS) + 1
+    span = (1 << 60) // max(1, total // max(BUCKET_BLOCKS, math.isqrt(total))) + 1
     rows = rows.withColumn("_bucket", F.floor(F.col("_h") / span))
     # "/" is floating point: a hash near an edge could round into the next bucket, alike for equal hashes, and order is kept all the same
     keys = ["_source", "epoch", "_bucket"]
