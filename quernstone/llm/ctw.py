@@ -15,18 +15,23 @@ the deepest known one stands as a leaf.
 
 The tree is never in one place.  Texts are dealt into chunks; a chunk counts its
 distinct (context, byte) grams and sends them, with its words, to shards by the
-two latest context bytes, below which all deeper nodes of the tree lie in one
-shard.  Shards merge the counts and give the sums of the two top levels, whose
-size is fixed (256 x 255 nodes), to the driver; then they answer each chunk with
-the log-probability of each of its grams, and chunks add them up by text.  What
-is shuffled is whole texts twice and distinct grams of each chunk; chunks and
-shards grow in number with the input and not in size, and a frequent gram or
-word is one entry of each chunk that has it.
+two latest context bytes.  A shard merges the counts as they stream in and cuts
+its grams where the third latest byte changes, so the nodes of depth 3 and more
+lie whole in slices that are worked on one by one; those of depth 2 are sums
+over slices.  The sums of depths 0 and 1, whose size is fixed (256 x 255 nodes),
+go to the driver.  Then shards answer the chunks, which stream past, with the
+log-probability of each of their grams, and chunks add them up by text.
+
+What is shuffled is whole texts twice and distinct grams of each chunk.  Chunks
+grow in number with the input and not in size.  A task holds a shard's distinct
+grams (12 bytes for each) and the tree of one slice, however many chunks there
+are; a frequent gram or word is one entry of each chunk that has it.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -120,19 +125,37 @@ def shard_of_pair(shards: int) -> np.ndarray:
 
 # ---- the tree of one shard ----
 
+#: Grams that a slice of a shard has, or little more: a slice ends where the third latest byte changes.
+SLICE = 1 << 17
+
+
+def slices(keys: np.ndarray, depth: int, rows: int = SLICE) -> list[tuple[int, int]]:
+    """Parts of sorted keys that cut no set of grams with the same three latest bytes."""
+    if not len(keys):
+        return []
+    three = keys >> np.uint64(8 * (depth - 2))
+    begins = np.flatnonzero(np.concatenate([[True], three[1:] != three[:-1]]))
+    cuts = begins[np.unique(begins // rows, return_index=True)[1]].tolist()
+    return list(zip(cuts, [*cuts[1:], len(keys)], strict=True))
+
+
+def _added(names: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct names in order, and the sums of the columns by name."""
+    distinct_names, inverse = np.unique(names, return_inverse=True)
+    return distinct_names, *(np.bincount(inverse, weights=x, minlength=len(distinct_names)) for x in columns)
+
 
 class Tree:
-    """The nodes of depth 2 and deeper below some pairs of latest context bytes."""
+    """The nodes of depth 3 and deeper of one slice."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
         self.depth, self.levels = depth, []
         level = {"keys": keys, "counts": counts, "up": None}
-        for d in range(depth, 1, -1):
+        for d in range(depth, 2, -1):
             k, n = level["keys"], level["counts"]
-            level["depth"] = d
             level["bits"] = [self._nodes(k, n, b) for b in range(8)]
             self.levels.append(level)
-            if d > 2:
+            if d > 3:
                 shorter = ((k >> np.uint64(16)) << np.uint64(8)) | (k & np.uint64(0xFF))
                 up, inverse = np.unique(shorter, return_inverse=True)
                 level["up"] = inverse
@@ -159,23 +182,20 @@ class Tree:
         total, ones = np.add.reduceat(counts, first), np.add.reduceat(counts * bit, first)
         return {"first": first, "of": np.cumsum(new) - 1, "total": total, "ones": ones, "bit": bit, "kt": log_kt(total - ones, ones)}
 
-    def top_sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(node of depth 1, zeros, ones, sum of the children's log weights); a node is latest byte x 256 + (1, bits so far)."""
+    def sums(self) -> tuple[np.ndarray, ...]:
+        """(node of depth 2, zeros, ones, sum of the children's log weights); a node is its two bytes, latest first, x 256 + (1, bits so far)."""
         level = self.levels[-1]
         out = []
         for b, node in enumerate(level["bits"]):
             keys = level["keys"][node["first"]]
-            latest, sym = (keys >> np.uint64(16)).astype(np.int64), (keys & np.uint64(0xFF)).astype(np.int64)
-            out.append((latest * 256 + ((1 << b) | (sym >> (8 - b))), node["total"] - node["ones"], node["ones"], node["weighted"]))
-        name, zeros, ones, weight = (np.concatenate(x) for x in zip(*out, strict=True))
-        names, inverse = np.unique(name, return_inverse=True)
-        return names, *(np.bincount(inverse, weights=x, minlength=len(names)) for x in (zeros, ones, weight))
+            two, sym = (keys >> np.uint64(16)).astype(np.int64), (keys & np.uint64(0xFF)).astype(np.int64)
+            out.append((two * 256 + ((1 << b) | (sym >> (8 - b))), node["total"] - node["ones"], node["ones"], node["weighted"]))
+        return _added(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
-    def log10(self, top: dict) -> np.ndarray:
+    def log10(self, two: Second, top: dict) -> np.ndarray:
         """The base-10 logarithm of the weighted prediction of each key's byte after its context."""
-        rows = np.arange(len(self.levels[0]["keys"]))
-        sym = (self.levels[0]["keys"] & np.uint64(0xFF)).astype(np.int64)
-        latest = (self.levels[0]["keys"] >> np.uint64(8 * self.depth)).astype(np.int64)
+        keys = self.levels[0]["keys"]
+        rows, sym = np.arange(len(keys)), (keys & np.uint64(0xFF)).astype(np.int64)
         p, seen = [None] * 8, [None] * 8
         for level in self.levels:
             for b in range(8):
@@ -187,16 +207,45 @@ class Tree:
                 seen[b] = total > 0
             if level["up"] is not None:
                 rows = level["up"][rows]
+        pair = (keys >> np.uint64(8 * (self.depth - 1))).astype(np.int64)
         out = np.zeros(len(sym))
         for b in range(8):
             heap, bit = (1 << b) | (sym >> (8 - b)), (sym >> (7 - b)) & 1
-            one = latest * 256 + heap
-            q = _mix(top["p1"][one, bit], top["w1"][one], p[b], seen[b])
+            at, one = np.searchsorted(two.names, pair * 256 + heap), (pair >> 8) * 256 + heap
+            total = two.zeros[at] + two.ones[at]
+            q = _mix((np.where(bit == 1, two.ones[at], two.zeros[at]) + 0.5) / (total + 1.0), two.kt[at] - two.children[at], p[b], seen[b])
+            q = _mix(top["p1"][one, bit], top["w1"][one], q, total > 0)
             q = _mix(top["p0"][heap, bit], top["w0"][heap], q, top["seen1"][one])
             out += np.log10(q)
         return out
 
 
+class Second:
+    """A shard's nodes of depth 2."""
+
+    def __init__(self, names: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray):
+        self.names, self.zeros, self.ones, self.children = names, zeros, ones, children
+        self.kt = log_kt(zeros.astype(np.int64), ones.astype(np.int64))
+
+    @staticmethod
+    def of(keys: np.ndarray, counts: np.ndarray, depth: int) -> Second:
+        parts = [Tree(keys[a:b], counts[a:b], depth).sums() for a, b in slices(keys, depth)]
+        return Second(*_added(*(np.concatenate(x) for x in zip(*parts, strict=True)))) if parts else Second(np.zeros(0, np.int64), *[np.zeros(0)] * 3)
+
+    def sums(self) -> tuple[np.ndarray, ...]:
+        """(node of depth 1, zeros, ones, sum of the children's log weights); a node is its byte x 256 + (1, bits so far)."""
+        weighted = np.where(self.zeros + self.ones > 0, np.logaddexp(self.kt, self.children) - np.log(2.0), 0.0)
+        return _added((self.names >> 16) * 256 + (self.names & 0xFF), self.zeros, self.ones, weighted)
+
+    def tobytes(self) -> bytes:
+        return np.concatenate([self.names.astype(np.float64), self.zeros, self.ones, self.children]).tobytes()
+
+    @staticmethod
+    def frombytes(data: bytes) -> Second:
+        names, zeros, ones, children = np.frombuffer(data, np.float64).reshape(4, -1)
+        return Second(names.astype(np.int64), zeros, ones, children)
+
+
 def _mix(kt: np.ndarray, log_odds: np.ndarray, deeper: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """KT and deeper prediction by their share of the code; where nothing deeper was seen, KT alone."""
     w = np.where(seen, 1.0 / (1.0 + np.exp(-np.clip(log_odds, -40, 40))), 1.0)
@@ -264,45 +313,78 @@ def _lookup(table_keys: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.
 
 
 _ASK = "shard int, chunk int, grams binary, counts binary, words binary, word_counts binary"
-
-
-def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """A shard's distinct grams with their counts over all chunks, and each chunk's grams."""
-    own = [unpack(x) for x in table.column("grams").to_pylist()]
-    keys = np.concatenate(own)
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts, own
-
-
-def _merge_words(table: pa.Table) -> tuple[Counter, list[list[bytes]]]:
-    own, total = [], Counter()
-    for words, counts in zip(table.column("words").to_pylist(), table.column("word_counts").to_pylist(), strict=True):
-        own.append(words.split(b" ") if words else [])
-        for w, c in zip(own[-1], np.frombuffer(counts, np.uint32).tolist(), strict=True):
-            total[w] += c
-    return total, own
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, folds: int = 10, held_fold: int = 0, chunk_bytes: int = 4 << 20) -> DataFrame:
+_MERGED = "shard int, chunk int, part int, grams binary, counts binary, two binary, words binary, word_counts binary"
+#: Chunks that are merged at once; more of them are merged in steps.
+FAN_IN = 256
+_ANSWER = "shard int, chunk int, logs binary, word_counts binary, words binary"
+
+
+def _table(columns: list[list], layout: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in layout.split(", ")]
+    return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+class Merger:
+    """Sums of the counts of grams and words that stream in; it holds the distinct ones and about as many that wait."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = 0
+        self.words: Counter = Counter()
+
+    def add(self, grams: bytes, counts: bytes, words: bytes, word_counts: bytes) -> None:
+        keys = unpack(grams)
+        self.waiting.append((keys, np.frombuffer(counts, np.int64)))
+        self.n += len(keys)
+        if self.n > max(1 << 20, len(self.keys)):
+            self.settle()
+        if words:
+            for w, c in zip(words.split(b" "), np.frombuffer(word_counts, np.int64).tolist(), strict=True):
+                self.words[w] += c
+
+    def settle(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.waiting)])
+        counts = np.concatenate([self.counts, *(c for _, c in self.waiting)])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+        self.waiting, self.n = [], 0
+
+    def packed_words(self) -> tuple[bytes, bytes]:
+        return b" ".join(self.words), np.fromiter(self.words.values(), np.int64, len(self.words)).tobytes()
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> tuple[int, Merger]:
+    shard, merger = -1, Merger()
+    for b in batches:
+        columns = [b.column(c) for c in ("shard", "grams", "counts", "words", "word_counts")]
+        for i in range(b.num_rows):
+            shard, *row = (c[i].as_py() for c in columns)
+            merger.add(*row)
+    merger.settle()
+    return shard, merger
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, folds: int = 10, held_fold: int = 0, chunk_bytes: int = 8 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) for every row.
 
     Training texts are those whose crc32(id as text) mod ``folds`` isn't
     ``held_fold``; every text is lower-cased (A-Z) and scored whole.  Null texts
     are empty, which scores the end symbol alone; rows that repeat an id are
     texts of their own; a null id counts as the empty text for its fold.
-    ``base_score`` is the unigram word model's.  ``depth`` is at most 6.
-    ``chunk_bytes`` is how much stored text a chunk has on average.
+    ``base_score`` is the unigram word model's.  ``depth`` is from 3 to 6.
+    ``chunk_bytes`` is how much text a chunk has on average.
     """
-    if not 2 <= depth <= 6:
-        raise ValueError("depth must be from 2 to 6")
+    if not 3 <= depth <= 6:
+        raise ValueError("depth must be from 3 to 6")
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    chunks = max(1, -(-common.plan_bytes(slim) // chunk_bytes))
-    shards = max(48, chunks)
+    chunks = -(-(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes) or 1
+    shards = min(1 << 16, max(48, chunks))
     chunked = slim.select(
         "id", "text", (common.crc_bucket("id", folds) == held_fold).alias("held_out"), F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int").alias("chunk")
     )
@@ -322,45 +404,83 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
             else:
                 seen.update(words)
         words = sorted(seen | known.keys())
-        of = _word_shard(words, shards)
+        order, word_order = np.argsort(shard, kind="stable"), np.argsort(_word_shard(words, shards), kind="stable")
+        ends, word_ends = (np.searchsorted(x, np.arange(shards), "right") for x in (shard[order], _word_shard(words, shards)[word_order]))
         columns: list[list] = [[], [], [], [], [], []]
         chunk = table.column("chunk")[0].as_py()
         for s in range(shards):
-            mine, w = np.flatnonzero(shard == s), [words[i] for i in np.flatnonzero(of == s).tolist()]
+            mine = order[ends[s - 1] if s else 0 : ends[s]]
+            w = [words[i] for i in word_order[word_ends[s - 1] if s else 0 : word_ends[s]].tolist()]
             if len(mine) or w:
-                row = (s, chunk, pack(keys[mine]), counts[mine].astype(np.uint32).tobytes(), b" ".join(w), np.fromiter((known[x] for x in w), np.uint32, len(w)).tobytes())
+                row = (s, chunk, pack(keys[mine]), counts[mine].astype(np.int64).tobytes(), b" ".join(w), np.fromiter((known[x] for x in w), np.int64, len(w)).tobytes())
                 for c, x in zip(columns, row, strict=True):
                     c.append(x)
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _ASK.split(", ")])
+        return pa.Table.from_batches([_table(columns, _ASK)])
 
     asked = common.stored(chunked.groupBy("chunk").applyInArrow(ask, _ASK), "ctw-grams")
 
-    def sums(table: pa.Table) -> pa.Table:
-        keys, counts, _ = _merge(table)
-        words, _ = _merge_words(table)
-        name, zeros, ones, weight = Tree(keys, counts, depth).top_sums() if len(keys) else (np.zeros(0, np.int64), *[np.zeros(0)] * 3)
-        name, zeros = np.append(name, -1), np.append(zeros, sum(words.values()))
-        ones, weight = np.append(ones, sum(c > 0 for c in words.values())), np.append(weight, 0.0)
-        return pa.table([pa.array(name, pa.int32()), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64)), pa.array(weight)], names=["node", "zeros", "ones", "children"])
-
-    by_node = asked.groupBy("shard").applyInArrow(sums, "node int, zeros long, ones long, children double").groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("children").alias("children"))
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, merger = _merged(batches)
+        words = merger.packed_words()
+        yield _table([[shard], [0], [pack(merger.keys)], [merger.counts.tobytes()], [words[0]], [words[1]]], _ASK)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, merger = _merged(batches)
+        keys, counts, words = merger.keys, merger.counts, merger.packed_words()
+        yield _table([[shard], [-1], [0], [None], [None], [Second.of(keys, counts, depth).tobytes()], [words[0]], [words[1]]], _MERGED)
+        for i, (a, b) in enumerate(slices(keys, depth)):
+            yield _table([[shard], [-1], [i + 1], [pack(keys[a:b])], [counts[a:b].tobytes()], [None], [None], [None]], _MERGED)
+
+    counted, left = asked, chunks
+    while left > FAN_IN:
+        left = -(-left // FAN_IN)
+        counted = counted.groupBy("shard", F.pmod(F.xxhash64("shard", "chunk", "grams"), F.lit(left))).applyInArrow(part, _ASK)
+    merged = common.stored(counted.groupBy("shard").applyInArrow(merge, _MERGED), "ctw-counts")
+
+    def sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for two, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                name, zeros, ones, children = Second.frombytes(two).sums()
+                known = np.frombuffer(words, np.int64)
+                name, zeros = np.append(name, -1), np.append(zeros, known.sum())
+                ones, children = np.append(ones, (known > 0).sum()), np.append(children, 0.0)
+                yield pa.record_batch([pa.array(name, pa.int32()), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64)), pa.array(children)], names=["node", "zeros", "ones", "children"])
+
+    by_node = merged.where("part = 0").select("two", "word_counts").mapInArrow(sums, "node int, zeros long, ones long, children double")
+    by_node = by_node.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("children").alias("children"))
     rows = sorted(by_node.collect())  # at most 65,281
     n_train, n_distinct = next(((r["zeros"], r["ones"]) for r in rows if r["node"] < 0), (0, 0))
     rows = [r for r in rows if r["node"] >= 0]
     top = top_tree(np.array([r["node"] for r in rows], np.int64), *(np.array([r[c] for r in rows], np.float64) for c in ("zeros", "ones", "children")))
     sent = spark.sparkContext.broadcast(top)
 
-    def answer(table: pa.Table) -> pa.Table:
-        keys, counts, own = _merge(table)
-        words, own_words = _merge_words(table)
-        logs = Tree(keys, counts, depth).log10(sent.value).astype(np.float32) if len(keys) else np.zeros(0, np.float32)
-        return pa.table([
-            table.column("shard"), table.column("chunk"), pa.array([logs[np.searchsorted(keys, k)].tobytes() for k in own], pa.binary()),
-            pa.array([np.fromiter((words[w] for w in ws), np.int64, len(ws)).tobytes() for ws in own_words], pa.binary()), table.column("words"),
-        ], names=["shard", "chunk", "logs", "word_counts", "words"])
-
-    answers = asked.groupBy("shard").applyInArrow(answer, "shard int, chunk int, logs binary, word_counts binary, words binary")
+    def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        two, known, keys, logs = None, {}, None, None
+        for b in it:
+            columns, out = [b.column(c) for c in b.schema.names], [[], [], [], [], []]
+            for i in range(b.num_rows):
+                shard, chunk, at, packed, counts, second, words, word_counts = (c[i].as_py() for c in columns)
+                if chunk < 0 and at == 0:
+                    two, parts, keys = Second.frombytes(second), [], None
+                    known = dict(zip(words.split(b" "), np.frombuffer(word_counts, np.int64).tolist(), strict=True)) if words else {}
+                elif chunk < 0:
+                    own = unpack(packed)
+                    parts.append((own, Tree(own, np.frombuffer(counts, np.int64), depth).log10(two, sent.value).astype(np.float32)))
+                else:
+                    if keys is None:
+                        keys, logs = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)]), np.concatenate([np.zeros(0, np.float32), *(x for _, x in parts)])
+                        parts = []
+                    ws = words.split(b" ") if words else []
+                    row = (shard, chunk, logs[np.searchsorted(keys, unpack(packed))].tobytes(), np.fromiter((known[w] for w in ws), np.int64, len(ws)).tobytes(), words)
+                    for c, x in zip(out, row, strict=True):
+                        c.append(x)
+            yield _table(out, _ANSWER)
+
+    none = F.lit(None).cast("binary")
+    asking = asked.select("shard", "chunk", F.lit(0).alias("part"), "grams", none.alias("counts"), none.alias("two"), "words", none.alias("word_counts"))
+    # a shard's nodes come first and its chunks after them, so chunks stream past
+    answers = merged.unionByName(asking).repartition("shard").sortWithinPartitions("shard", "chunk", "part").mapInArrow(answer, _ANSWER)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = _texts(left)
@@ -368,9 +488,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         own = np.sort(keys)
         own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
         shard = shard_of_pair(shards)[(own >> np.uint64(8 * (depth - 1))).astype(np.int64)]
+        order = np.argsort(shard, kind="stable")
+        begin, end = (np.searchsorted(shard[order], np.arange(shards), side) for side in ("left", "right"))
         logs, counts = np.zeros(len(own)), {}
         for s, values, words, word_counts in zip(*(right.column(c).to_pylist() for c in ("shard", "logs", "words", "word_counts")), strict=True):
-            logs[shard == s] = np.frombuffer(values, np.float32)
+            logs[order[begin[s] : end[s]]] = np.frombuffer(values, np.float32)
             if words:
                 counts.update(zip(words.split(b" "), np.frombuffer(word_counts, np.int64).tolist(), strict=True))
         score = np.add.reduceat(_lookup(own, keys, logs), begins) if len(texts) else np.zeros(0)

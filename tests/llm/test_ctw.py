@@ -97,6 +97,29 @@ def test_predictions_of_all_bytes_sum_to_one():
     assert total == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("rows", [1, 50, 1 << 20])
+def test_slices_give_the_nodes_of_the_whole(monkeypatch, rows):
+    rng = np.random.default_rng(7)
+    texts = [bytes(rng.integers(97, 101, 400).astype(np.uint8)) for _ in range(3)]
+    keys, _ = ctw.grams(texts, 4)
+    keys, counts = ctw.distinct(keys, np.ones(len(keys), bool))
+    whole = ctw.Second.of(keys, counts, 4)
+    monkeypatch.setattr(ctw.slices, "__defaults__", (rows,))
+    cut = ctw.slices(keys, 4)
+    assert cut[0][0] == 0 and cut[-1][1] == len(keys) and all(a[1] == b[0] for a, b in zip(cut, cut[1:], strict=False)) and (rows > 1) == (len(cut) < 40)
+    part = ctw.Second.frombytes(ctw.Second.of(keys, counts, 4).tobytes())
+    for name in ("names", "zeros", "ones", "children", "kt"):
+        assert getattr(part, name) == pytest.approx(getattr(whole, name))
+
+
+def test_merging_in_steps_gives_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(TEXTS * 4)), "doc_id long, text string")
+    key = lambda d: {r["doc_id"]: (r["score"], r["base_score"]) for r in d.collect()}
+    one = key(ctw.score(df, depth=3, chunk_bytes=60))
+    monkeypatch.setattr(ctw, "FAN_IN", 2)
+    assert key(ctw.score(df, depth=3, chunk_bytes=60)) == {i: pytest.approx(v) for i, v in one.items()}
+
+
 def test_packing_round_trip():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 56, 1000).astype(np.uint64))
     assert (ctw.unpack(ctw.pack(keys)) == keys).all() and len(ctw.unpack(ctw.pack(keys[:0]))) == 0
@@ -108,7 +131,7 @@ def test_kt_of_large_counts():
     assert ctw.log_kt(z, o) == pytest.approx(wanted, rel=1e-9)
 
 
-@pytest.mark.parametrize("depth", [1, 7])
+@pytest.mark.parametrize("depth", [2, 7])
 def test_depth_is_bounded(spark, depth):
     with pytest.raises(ValueError):
         ctw.score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), depth=depth)
