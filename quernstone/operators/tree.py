@@ -25,17 +25,38 @@ def group_key(file_path: Column, url: Column | None = None) -> Column:
     return F.coalesce(file_path, url if url is not None else F.lit(None).cast("string"), F.lit("default_group"))
 
 
-def level_groups(nodes: DataFrame, key: str, order: str, fanout: int = FANOUT) -> DataFrame:
+def positions(nodes: DataFrame, key: str, order: str, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``nodes`` with ``position``: from 0 in order within each key, however many rows a key has.
+
+    Rows are dealt by ranges of key and order, so a large key is spread over many
+    tasks; a row's place within its task's range is known from the sort, and the
+    places where keys' ranges begin from one row for each key and task.
+    """
+    ranged = nodes.repartitionByRange(key, order).sortWithinPartitions(key, order)
+    at = F.monotonically_increasing_id()
+    ranged = store(ranged.withColumn("_task", F.shiftright(at, 33).cast("int")).withColumn("_at", at.bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
+    parts = ranged.groupBy(key, "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select(F.col(key).alias("_key"), F.col("_task").alias("_of"), (before - F.col("_first")).alias("_shift"))
+    joined = ranged.join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_task") == F.col("_of")))
+    return joined.select(*nodes.columns, (F.col("_at") + F.col("_shift")).alias("position"))
+
+
+def level_groups(nodes: DataFrame, key: str, order: str, store: Callable[[DataFrame, str], DataFrame], fanout: int = FANOUT) -> DataFrame:
     """``nodes`` with ``bucket``: runs of ``fanout`` in order within each key."""
-    w = W.partitionBy(key).orderBy(order)
-    return nodes.withColumn("bucket", F.floor((F.row_number().over(w) - 1) / fanout).cast("long"))
+    return positions(nodes, key, order, store).withColumn("bucket", F.floor(F.col("position") / fanout).cast("long")).drop("position")
+
+
+def _prompt(rows: Column) -> Column:
+    """Texts numbered from 0; rows without text keep their number."""
+    lines = F.transform(rows, lambda x, i: F.when(x["t"].isNotNull(), F.concat(F.lit("Node "), i.cast("string"), F.lit(":\n"), x["t"], F.lit("\n\n"))))
+    return F.array_join(F.filter(lines, lambda s: s.isNotNull()), "")
 
 
 def level_prompts(grouped: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """(key, bucket, prompt, children, first): the children's texts numbered from 0 in their order; rows without text keep their number."""
+    """(key, bucket, prompt, children, first): the children's texts in their order."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    lines = F.filter(F.transform("rows", lambda x, i: F.when(x["t"].isNotNull(), F.concat(F.lit("Node "), i.cast("string"), F.lit(":\n"), x["t"], F.lit("\n\n")))), lambda s: s.isNotNull())
-    return grouped.groupBy(key, "bucket").agg(rows.alias("rows")).select(key, "bucket", F.array_join(lines, "").alias("prompt"), F.transform("rows", lambda x: x["o"]).alias("children"), F.get(F.col("rows"), F.lit(0))["o"].alias("first"))
+    return grouped.groupBy(key, "bucket").agg(rows.alias("rows")).select(key, "bucket", _prompt(F.col("rows")).alias("prompt"), F.transform("rows", lambda x: x["o"]).alias("children"), F.get(F.col("rows"), F.lit(0))["o"].alias("first"))
 
 
 def build(leaves: DataFrame, summarise: Callable[[Column], Column], store: Callable[[DataFrame, str], DataFrame], key: str = "key", fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
@@ -44,22 +65,23 @@ def build(leaves: DataFrame, summarise: Callable[[Column], Column], store: Calla
     Levels are built until each key has one node; keys never meet, so there can
     be several roots.  A summary's id depends on its children and not on its
     words alone, so equal summaries stay apart and none is its own parent.
-    ``store`` writes a level and reads it again, which cuts the lineage.
+    ``store`` writes a level and reads it again, which cuts the lineage.  Only
+    leaves are numbered: above them a node's place is its bucket, so a level is
+    one aggregation of groups of ``fanout`` rows.
     """
-    level = store(leaves.select("node_id", key, "ord", "text", F.lit(0).alias("level")), "level-0")
-    nodes, edges, depth = level, None, 0
-    while level.groupBy(key).count().where("count > 1").limit(1).count():
+    level = store(positions(leaves.select("node_id", key, "ord", "text"), key, "ord", store).withColumn("level", F.lit(0)), "level-0")
+    nodes, edges, depth = level.drop("position"), None, 0
+    while not level.where(F.col("position") > 0).isEmpty():
         depth += 1
-        grouped = level_groups(level, key, "ord", fanout)
-        prompts = level_prompts(grouped, key, "ord", "text")
-        ids = grouped.groupBy(key, "bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("node_id")), ",").cast("binary"), 256).alias("node_id"))
-        upper = prompts.join(ids, [key, "bucket"]).select("node_id", key, F.col("bucket").cast("int").alias("ord"), summarise(F.col("prompt")).alias("text"), F.lit(depth).alias("level"), "bucket")
-        upper = store(upper, f"level-{depth}")
-        child = grouped.select(F.col("node_id").alias("dst_id"), key, "bucket", F.col("ord").alias("child_ord")).join(upper.select(F.col("node_id").alias("src_id"), key, "bucket"), [key, "bucket"])
-        found = child.select("src_id", F.lit("CHILD").alias("rel"), F.col("child_ord").alias("ord"), "dst_id")
+        rows = F.array_sort(F.collect_list(F.struct(F.col("position").alias("p"), F.col("ord").alias("o"), F.col("node_id").alias("id"), F.col("text").alias("t"))))
+        grouped = level.groupBy(key, F.floor(F.col("position") / fanout).cast("long").alias("position")).agg(rows.alias("rows"))
+        name = F.sha2(F.array_join(F.array_sort(F.transform("rows", lambda x: x["id"])), ",").cast("binary"), 256)
+        children = F.transform("rows", lambda x: F.struct(x["id"].alias("id"), x["o"].alias("o")))
+        upper = store(grouped.select(name.alias("node_id"), key, F.col("position").cast("int").alias("ord"), summarise(_prompt(F.col("rows"))).alias("text"), "position", F.lit(depth).alias("level"), children.alias("children")), f"level-{depth}")
+        found = upper.select(F.col("node_id").alias("src_id"), F.lit("CHILD").alias("rel"), F.explode("children").alias("c")).select("src_id", "rel", F.col("c.o").alias("ord"), F.col("c.id").alias("dst_id"))
         edges = found if edges is None else edges.unionByName(found)
-        level = upper.drop("bucket")
-        nodes = nodes.unionByName(level)
+        level = upper.drop("children")
+        nodes = nodes.unionByName(level.drop("position"))
     if edges is None:
         edges = level.limit(0).select(F.col("node_id").alias("src_id"), F.lit("CHILD").alias("rel"), "ord", F.col("node_id").alias("dst_id"))
     return nodes, edges

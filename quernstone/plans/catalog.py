@@ -518,13 +518,13 @@ _BUCKETS = "SELECT doc_id, text, source, (row_number() OVER (PARTITION BY source
 
 @query(f"SELECT source, bucket, count(*) AS n, min(doc_id) AS first_doc FROM ({_BUCKETS}) GROUP BY source, bucket")
 def hier_level_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = tree.level_groups(docs(spark, sf_dir).select("doc_id", "source"), "source", "doc_id")
+    grouped = tree.level_groups(docs(spark, sf_dir).select("doc_id", "source"), "source", "doc_id", stored)
     return grouped.groupBy("source", "bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query(f"WITH b AS (SELECT *, row_number() OVER (PARTITION BY source, bucket ORDER BY doc_id) - 1 AS i FROM ({_BUCKETS})) SELECT source, bucket, sha256(string_agg('Node ' || i || ':' || chr(10) || text || chr(10) || chr(10), '' ORDER BY doc_id)) AS prompt_sha FROM b GROUP BY source, bucket")
 def hier_level_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = tree.level_groups(docs(spark, sf_dir).select("doc_id", "source", "text"), "source", "doc_id")
+    grouped = tree.level_groups(docs(spark, sf_dir).select("doc_id", "source", "text"), "source", "doc_id", stored)
     return tree.level_prompts(grouped, "source", "doc_id", "text").select("source", "bucket", F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_sha"))
 
 

@@ -316,6 +316,16 @@ def summary(prompt):
     return F.concat(F.lit("summary "), F.length(prompt).cast("string"))
 
 
+def test_positions_of_a_large_key_and_of_null_keys(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 7 == 0, F.col("id").cast("string").substr(1, 1)).when(F.col("id") % 11 > 0, "hot").alias("key"), (F.col("id") * 37 % 5000).alias("ord"))
+    got: dict = {}
+    for r in tree.positions(df, "key", "ord", stored).collect():
+        got.setdefault(r["key"], []).append((r["ord"], r["position"]))
+    assert sum(map(len, got.values())) == 5000 and None in got
+    for rows in got.values():
+        assert [p for _, p in sorted(rows)] == list(range(len(rows)))
+
+
 def test_a_tree_of_two_sources_ends_with_two_roots(spark):
     nodes, edges = tree.build(leaves(spark, 7), summary, stored)
     assert sorted(r["count"] for r in nodes.groupBy("level").count().collect()) == [2, 4, 14]
