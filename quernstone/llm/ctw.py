@@ -22,10 +22,11 @@ over slices.  The sums of depths 0 and 1, whose size is fixed (256 x 255 nodes),
 go to the driver.  Then shards answer the chunks, which stream past, with the
 log-probability of each of their grams, and chunks add them up by text.
 
-What is shuffled is whole texts twice and distinct grams of each chunk.  Chunks
-grow in number with the input and not in size.  A task holds a shard's distinct
-grams (12 bytes for each) and the tree of one slice, however many chunks there
-are; a frequent gram or word is one entry of each chunk that has it.
+What is shuffled is each chunk's distinct grams twice, their answers, and the
+chunk's compressed texts once.  Chunks grow in number with the input and not in
+size.  A task holds a shard's distinct grams (12 bytes for each) and the tree of
+one slice, however many chunks there are; a frequent gram or word is one entry
+of each chunk that has it.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,18 +78,61 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 # ---- packing ----
 
 
-def pack(sorted_keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, byte plane by byte plane, which the shuffle's and files' codecs shrink."""
-    return np.ascontiguousarray(np.diff(sorted_keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def _planes(x: np.ndarray) -> bytes:
+    """Byte by byte of all numbers in turn, which a codec shrinks well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all positions of all texts, each text's end included, and where each text's begin.
+def pack(sorted_keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys as differences, and their counts."""
+    return zstandard.ZstdCompressor(level=3).compress(_planes(np.diff(sorted_keys, prepend=np.uint64(0)).astype("<u8")) + _planes(counts.astype("<u8")))
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    half = len(raw) // 2
+    return np.cumsum(_from_planes(raw[:half], "<u8"), dtype=np.uint64), _from_planes(raw[half:], "<u8").astype(np.int64)
+
+
+def pack_numbers(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(_planes(x.astype("<i8")))
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    return _from_planes(zstandard.ZstdDecompressor().decompress(data), "<i8")
+
+
+def pack_logs(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(_planes(x.astype("<f4")))
+
+
+def unpack_logs(data: bytes) -> np.ndarray:
+    return _from_planes(zstandard.ZstdDecompressor().decompress(data), "<f4")
+
+
+def pack_texts(texts: list[bytes]) -> bytes:
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(texts)).tobytes() + lengths.tobytes() + b"".join(texts))
+
+
+def unpack_texts(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw[:8], np.int64)[0])
+    ends = (np.cumsum(np.frombuffer(raw[8 : 8 + 8 * n], np.int64)) + 8 + 8 * n).tolist()
+    return [raw[a:b] for a, b in zip([8 + 8 * n, *ends], ends, strict=False)]
+
+
+#: Positions whose keys are made at once.
+BLOCK = 1 << 21
+
+
+def grams(texts: list[bytes], depth: int, block: int = BLOCK) -> Iterator[np.ndarray]:
+    """Keys of all positions of all texts, each text's end included, block by block.
 
     A key has the context's bytes, the latest first, and then the byte itself.
     """
@@ -97,12 +143,32 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(data) - depth, bool)
     for k in range(1, depth):  # of the gap after a text, its first byte is the end symbol
         keep[begins + lengths + k - depth] = False
-    at = np.flatnonzero(keep) + depth
-    wide = data.astype(np.uint64)
-    keys = wide[at]
-    for k in range(1, depth + 1):
-        keys |= wide[at - k] << np.uint64(8 * (depth + 1 - k))
-    return keys, np.cumsum(lengths + 1) - (lengths + 1)
+    for i in range(0, len(keep), block):
+        at = np.flatnonzero(keep[i : i + block]) + i
+        wide = data[i : i + block + depth].astype(np.uint64)
+        at -= i
+        keys = wide[at + depth]
+        for k in range(1, depth + 1):
+            keys |= wide[at + depth - k] << np.uint64(8 * (depth + 1 - k))
+        yield keys
+
+
+def gram_counts(texts: list[bytes], train: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of some texts in order, and how often those of training have them."""
+    flags = np.repeat(train, np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    parts, at = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    for keys in grams(texts, depth):
+        parts.append(distinct(keys, flags[at : at + len(keys)]))
+        at += len(keys)
+    return _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,10 +341,6 @@ def words_of(text: bytes) -> list[bytes]:
     return [*text.split(), bytes([END])]
 
 
-def _texts(table: pa.Table) -> list[bytes]:
-    return [(t or b"").translate(_LOWER) for t in table.column("text").cast(pa.binary()).to_pylist()]
-
-
 def _word_shard(words: list[bytes], shards: int) -> np.ndarray:
     """A shard for each word by its bytes, alike in every process."""
     import xxhash
@@ -312,19 +374,27 @@ def _lookup(table_keys: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.
     return out
 
 
-_ASK = "shard int, chunk int, grams binary, counts binary, words binary, word_counts binary"
-_MERGED = "shard int, chunk int, part int, grams binary, counts binary, two binary, words binary, word_counts binary"
+_DEALT = "shard int, chunk long, grams binary, words binary, word_counts binary, texts binary"
+_ASK = "shard int, chunk long, grams binary, words binary, word_counts binary"
+_MERGED = "shard int, chunk long, part int, grams binary, two binary, words binary, word_counts binary"
+_ANSWER = "shard int, chunk long, logs binary, word_counts binary"
 #: Chunks that are merged at once; more of them are merged in steps.
 FAN_IN = 256
-_ANSWER = "shard int, chunk int, logs binary, word_counts binary, words binary"
 
 
 def _table(columns: list[list], layout: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     fields = [x.split() for x in layout.split(", ")]
     return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
+def _split(shard: np.ndarray, shards: int) -> list[np.ndarray]:
+    """The places of each shard's entries, in their order."""
+    order = np.argsort(shard, kind="stable")
+    ends = np.searchsorted(shard[order], np.arange(shards), "right").tolist()
+    return [order[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class Merger:
     """Sums of the counts of grams and words that stream in; it holds the distinct ones and about as many that wait."""
 
@@ -334,33 +404,27 @@ class Merger:
         self.n = 0
         self.words: Counter = Counter()
 
-    def add(self, grams: bytes, counts: bytes, words: bytes, word_counts: bytes) -> None:
-        keys = unpack(grams)
-        self.waiting.append((keys, np.frombuffer(counts, np.int64)))
-        self.n += len(keys)
+    def add(self, packed: bytes, words: bytes, word_counts: bytes) -> None:
+        self.waiting.append(unpack(packed))
+        self.n += len(self.waiting[-1][0])
         if self.n > max(1 << 20, len(self.keys)):
             self.settle()
         if words:
-            for w, c in zip(words.split(b" "), np.frombuffer(word_counts, np.int64).tolist(), strict=True):
+            for w, c in zip(words.split(b" "), unpack_numbers(word_counts).tolist(), strict=True):
                 self.words[w] += c
 
     def settle(self) -> None:
-        keys = np.concatenate([self.keys, *(k for k, _ in self.waiting)])
-        counts = np.concatenate([self.counts, *(c for _, c in self.waiting)])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+        self.keys, self.counts = _summed(np.concatenate([self.keys, *(k for k, _ in self.waiting)]), np.concatenate([self.counts, *(c for _, c in self.waiting)]))
         self.waiting, self.n = [], 0
 
     def packed_words(self) -> tuple[bytes, bytes]:
-        return b" ".join(self.words), np.fromiter(self.words.values(), np.int64, len(self.words)).tobytes()
+        return b" ".join(self.words), pack_numbers(np.fromiter(self.words.values(), np.int64, len(self.words)))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> tuple[int, Merger]:
     shard, merger = -1, Merger()
     for b in batches:
-        columns = [b.column(c) for c in ("shard", "grams", "counts", "words", "word_counts")]
+        columns = [b.column(c) for c in ("shard", "grams", "words", "word_counts")]
         for i in range(b.num_rows):
             shard, *row = (c[i].as_py() for c in columns)
             merger.add(*row)
@@ -376,62 +440,68 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     are empty, which scores the end symbol alone; rows that repeat an id are
     texts of their own; a null id counts as the empty text for its fold.
     ``base_score`` is the unigram word model's.  ``depth`` is from 3 to 6.
-    ``chunk_bytes`` is how much text a chunk has on average.
+    A chunk has at most ``chunk_bytes`` of text and one text more.
     """
     if not 3 <= depth <= 6:
         raise ValueError("depth must be from 3 to 6")
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    chunks = -(-(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes) or 1
-    shards = min(1 << 16, max(48, chunks))
-    chunked = slim.select(
-        "id", "text", (common.crc_bucket("id", folds) == held_fold).alias("held_out"), F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int").alias("chunk")
-    )
-
-    def ask(table: pa.Table) -> pa.Table:
-        texts = _texts(table)
-        train = ~np.array(table.column("held_out").to_pylist(), bool)
-        keys, begins = grams(texts, depth)
-        keys, counts = distinct(keys, np.repeat(train, np.diff(np.append(begins, len(keys)))))
-        shard = shard_of_pair(shards)[(keys >> np.uint64(8 * (depth - 1))).astype(np.int64)]
-        known: Counter = Counter()
-        seen: set[bytes] = set()
-        for text, is_train in zip(texts, train.tolist(), strict=True):
-            words = words_of(text)
-            if is_train:
-                known.update(words)
-            else:
-                seen.update(words)
-        words = sorted(seen | known.keys())
-        order, word_order = np.argsort(shard, kind="stable"), np.argsort(_word_shard(words, shards), kind="stable")
-        ends, word_ends = (np.searchsorted(x, np.arange(shards), "right") for x in (shard[order], _word_shard(words, shards)[word_order]))
-        columns: list[list] = [[], [], [], [], [], []]
-        chunk = table.column("chunk")[0].as_py()
-        for s in range(shards):
-            mine = order[ends[s - 1] if s else 0 : ends[s]]
-            w = [words[i] for i in word_order[word_ends[s - 1] if s else 0 : word_ends[s]].tolist()]
-            if len(mine) or w:
-                row = (s, chunk, pack(keys[mine]), counts[mine].astype(np.int64).tobytes(), b" ".join(w), np.fromiter((known[x] for x in w), np.int64, len(w)).tobytes())
-                for c, x in zip(columns, row, strict=True):
-                    c.append(x)
-        return pa.Table.from_batches([_table(columns, _ASK)])
-
-    asked = common.stored(chunked.groupBy("chunk").applyInArrow(ask, _ASK), "ctw-grams")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (common.crc_bucket(id_col, folds) == held_fold).alias("held_out"))
+    total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = min(1 << 16, max(48, -(-total // chunk_bytes)))
+
+    def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, size = 0, 0
+        ids, texts, held = [], [], []
+
+        def chunk() -> Iterator[pa.RecordBatch]:
+            name = (TaskContext.get().partitionId() << 24) + made
+            train = ~np.array(held, bool)
+            keys, counts = gram_counts(texts, train, depth)
+            known: Counter = Counter()
+            seen: set[bytes] = set()
+            for text, is_train in zip(texts, train.tolist(), strict=True):
+                known.update(words_of(text)) if is_train else seen.update(words_of(text))
+            words = sorted(seen | known.keys())
+            rows = [(-1, name, None, None, None, pack_texts(texts))]
+            for s, (mine, own) in enumerate(zip(_split(shard_of_pair(shards)[(keys >> np.uint64(8 * (depth - 1))).astype(np.int64)], shards), _split(_word_shard(words, shards), shards), strict=True)):
+                if len(mine) or len(own):
+                    w = [words[i] for i in own.tolist()]
+                    rows.append((s, name, pack(keys[mine], counts[mine]), b" ".join(w), pack_numbers(np.fromiter((known[x] for x in w), np.int64, len(w))), None))
+            b = _table([list(c) for c in zip(*rows, strict=True)], _DEALT)
+            more = [pa.array([x, *[None] * (len(rows) - 1)], pa.list_(k)) for x, k in ((ids, id_type), (held, pa.bool_()))]
+            yield pa.record_batch([*b.columns, *more], names=[*b.schema.names, "ids", "held"])
+
+        for b in it:
+            id_type = b.schema.field(0).type
+            for i in range(0, b.num_rows, 200):
+                for one, text, is_held in zip(*(c.to_pylist() for c in (b.column(0).slice(i, 200), b.column(1).slice(i, 200).cast(pa.binary()), b.column(2).slice(i, 200))), strict=True):
+                    ids.append(one)
+                    texts.append((text or b"").translate(_LOWER))
+                    held.append(is_held)
+                    size += len(texts[-1]) + 1
+                    if size >= chunk_bytes:
+                        yield from chunk()
+                        made, size, ids, texts, held = made + 1, 0, [], [], []
+        if ids:
+            yield from chunk()
+
+    # texts and what they ask stand in one table, so a task that runs again leaves no half of a chunk
+    dealt = common.stored(slim.mapInArrow(deal, f"{_DEALT}, ids array<{kind}>, held array<boolean>"), "ctw-dealt")
+    asked = dealt.where("shard >= 0").select(*[x.split()[0] for x in _ASK.split(", ")])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, merger = _merged(batches)
-        words = merger.packed_words()
-        yield _table([[shard], [0], [pack(merger.keys)], [merger.counts.tobytes()], [words[0]], [words[1]]], _ASK)
+        yield _table([[shard], [0], [pack(merger.keys, merger.counts)], *([x] for x in merger.packed_words())], _ASK)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, merger = _merged(batches)
-        keys, counts, words = merger.keys, merger.counts, merger.packed_words()
-        yield _table([[shard], [-1], [0], [None], [None], [Second.of(keys, counts, depth).tobytes()], [words[0]], [words[1]]], _MERGED)
+        keys, counts = merger.keys, merger.counts
+        yield _table([[shard], [-1], [0], [None], [Second.of(keys, counts, depth).tobytes()], *([x] for x in merger.packed_words())], _MERGED)
         for i, (a, b) in enumerate(slices(keys, depth)):
-            yield _table([[shard], [-1], [i + 1], [pack(keys[a:b])], [counts[a:b].tobytes()], [None], [None], [None]], _MERGED)
+            yield _table([[shard], [-1], [i + 1], [pack(keys[a:b], counts[a:b])], [None], [None], [None]], _MERGED)
 
-    counted, left = asked, chunks
+    counted, left = asked, dealt.where("shard < 0").count()
     while left > FAN_IN:
         left = -(-left // FAN_IN)
         counted = counted.groupBy("shard", F.pmod(F.xxhash64("shard", "chunk", "grams"), F.lit(left))).applyInArrow(part, _ASK)
@@ -441,7 +511,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         for b in it:
             for two, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 name, zeros, ones, children = Second.frombytes(two).sums()
-                known = np.frombuffer(words, np.int64)
+                known = unpack_numbers(words)
                 name, zeros = np.append(name, -1), np.append(zeros, known.sum())
                 ones, children = np.append(ones, (known > 0).sum()), np.append(children, 0.0)
                 yield pa.record_batch([pa.array(name, pa.int32()), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64)), pa.array(children)], names=["node", "zeros", "ones", "children"])
@@ -458,54 +528,51 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         two, known, keys, logs = None, {}, None, None
         for b in it:
-            columns, out = [b.column(c) for c in b.schema.names], [[], [], [], [], []]
+            columns, out = [b.column(c) for c in b.schema.names], [[], [], [], []]
             for i in range(b.num_rows):
-                shard, chunk, at, packed, counts, second, words, word_counts = (c[i].as_py() for c in columns)
+                shard, chunk, at, packed, second, words, word_counts = (c[i].as_py() for c in columns)
                 if chunk < 0 and at == 0:
                     two, parts, keys = Second.frombytes(second), [], None
-                    known = dict(zip(words.split(b" "), np.frombuffer(word_counts, np.int64).tolist(), strict=True)) if words else {}
+                    known = dict(zip(words.split(b" "), unpack_numbers(word_counts).tolist(), strict=True)) if words else {}
                 elif chunk < 0:
-                    own = unpack(packed)
-                    parts.append((own, Tree(own, np.frombuffer(counts, np.int64), depth).log10(two, sent.value).astype(np.float32)))
+                    own, counts = unpack(packed)
+                    parts.append((own, Tree(own, counts, depth).log10(two, sent.value).astype(np.float32)))
                 else:
                     if keys is None:
                         keys, logs = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)]), np.concatenate([np.zeros(0, np.float32), *(x for _, x in parts)])
                         parts = []
                     ws = words.split(b" ") if words else []
-                    row = (shard, chunk, logs[np.searchsorted(keys, unpack(packed))].tobytes(), np.fromiter((known[w] for w in ws), np.int64, len(ws)).tobytes(), words)
+                    row = (shard, chunk, pack_logs(logs[np.searchsorted(keys, unpack(packed)[0])]), pack_numbers(np.fromiter((known[w] for w in ws), np.int64, len(ws))))
                     for c, x in zip(out, row, strict=True):
                         c.append(x)
             yield _table(out, _ANSWER)
 
     none = F.lit(None).cast("binary")
-    asking = asked.select("shard", "chunk", F.lit(0).alias("part"), "grams", none.alias("counts"), none.alias("two"), "words", none.alias("word_counts"))
+    asking = asked.select("shard", "chunk", F.lit(0).alias("part"), "grams", none.alias("two"), "words", none.alias("word_counts"))
     # a shard's nodes come first and its chunks after them, so chunks stream past
     answers = merged.unionByName(asking).repartition("shard").sortWithinPartitions("shard", "chunk", "part").mapInArrow(answer, _ANSWER)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = _texts(left)
-        keys, begins = grams(texts, depth)
-        own = np.sort(keys)
-        own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
-        shard = shard_of_pair(shards)[(own >> np.uint64(8 * (depth - 1))).astype(np.int64)]
-        order = np.argsort(shard, kind="stable")
-        begin, end = (np.searchsorted(shard[order], np.arange(shards), side) for side in ("left", "right"))
-        logs, counts = np.zeros(len(own)), {}
-        for s, values, words, word_counts in zip(*(right.column(c).to_pylist() for c in ("shard", "logs", "words", "word_counts")), strict=True):
-            logs[order[begin[s] : end[s]]] = np.frombuffer(values, np.float32)
-            if words:
-                counts.update(zip(words.split(b" "), np.frombuffer(word_counts, np.int64).tolist(), strict=True))
-        score = np.add.reduceat(_lookup(own, keys, logs), begins) if len(texts) else np.zeros(0)
-        tokens = [words_of(t) for t in texts]
-        n = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        c = np.fromiter(map(counts.__getitem__, chain.from_iterable(tokens)), np.float64, int(n.sum()))
-        starts = np.cumsum(n) - n
-        base = np.add.reduceat(np.log10((c + 0.1) / (n_train + 0.1 * (n_distinct + 1))), starts)
+        texts = unpack_texts(left.column("texts")[0].as_py())
+        words = sorted({w for t in texts for w in words_of(t)})
+        own, _ = gram_counts(texts, np.zeros(len(texts), bool), depth)
+        mine, mine_words = _split(shard_of_pair(shards)[(own >> np.uint64(8 * (depth - 1))).astype(np.int64)], shards), _split(_word_shard(words, shards), shards)
+        logs, known = np.zeros(len(own), np.float32), np.zeros(len(words), np.int64)
+        for s, values, numbers in zip(*(right.column(c).to_pylist() for c in ("shard", "logs", "word_counts")), strict=True):
+            logs[mine[s]], known[mine_words[s]] = unpack_logs(values), unpack_numbers(numbers)
+        counts = dict(zip(words, known.tolist(), strict=True))
         size = np.fromiter(map(len, texts), np.int64, len(texts))
+        each = np.concatenate([_lookup(own, k, logs) for k in grams(texts, depth)])
+        score = np.add.reduceat(each.astype(np.float64), np.cumsum(size + 1) - (size + 1))
+        n, seen, base = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            c = np.array([counts[w] for w in words_of(t)], np.float64)
+            n[i], seen[i], base[i] = len(c), (c > 0).sum(), np.log10((c + 0.1) / (n_train + 0.1 * (n_distinct + 1))).sum()
         return pa.table([
-            left.column("id"), left.column("held_out"), pa.array(n), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.full(len(n), n_train, np.int64)),
+            left.column("ids").combine_chunks().flatten(), left.column("held").combine_chunks().flatten(), pa.array(n), pa.array(seen), pa.array(np.full(len(n), n_train, np.int64)),
             pa.array(base), pa.array(score), pa.array(size), pa.array(-score / np.log10(2.0) / (size + 1)),
         ], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add_up, schema).withColumnRenamed("id", id_col)
+    whole = dealt.where("shard < 0").select("chunk", "texts", "ids", "held")
+    return whole.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add_up, schema).withColumnRenamed("id", id_col)

@@ -101,8 +101,7 @@ def test_predictions_of_all_bytes_sum_to_one():
 def test_slices_give_the_nodes_of_the_whole(monkeypatch, rows):
     rng = np.random.default_rng(7)
     texts = [bytes(rng.integers(97, 101, 400).astype(np.uint8)) for _ in range(3)]
-    keys, _ = ctw.grams(texts, 4)
-    keys, counts = ctw.distinct(keys, np.ones(len(keys), bool))
+    keys, counts = ctw.gram_counts(texts, np.ones(3, bool), 4)
     whole = ctw.Second.of(keys, counts, 4)
     monkeypatch.setattr(ctw.slices, "__defaults__", (rows,))
     cut = ctw.slices(keys, 4)
@@ -121,8 +120,27 @@ def test_merging_in_steps_gives_the_same(spark, monkeypatch):
 
 
 def test_packing_round_trip():
-    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 56, 1000).astype(np.uint64))
-    assert (ctw.unpack(ctw.pack(keys)) == keys).all() and len(ctw.unpack(ctw.pack(keys[:0]))) == 0
+    rng = np.random.default_rng(0)
+    keys, counts = np.unique(rng.integers(0, 1 << 56, 1000).astype(np.uint64)), rng.integers(0, 1 << 40, 1000)
+    for n in (0, 1, len(keys)):
+        got = ctw.unpack(ctw.pack(keys[:n], counts[:n]))
+        assert (got[0] == keys[:n]).all() and (got[1] == counts[:n]).all()
+        assert (ctw.unpack_numbers(ctw.pack_numbers(counts[:n])) == counts[:n]).all()
+        logs = -rng.exponential(1, n)
+        assert ctw.unpack_logs(ctw.pack_logs(logs)) == pytest.approx(logs, rel=2**-16)
+    for texts in ([], [b""], [b"a", b"", b"bcd"]):
+        assert ctw.unpack_texts(ctw.pack_texts(texts)) == texts
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_grams_of_all_positions_in_any_blocks(block):
+    texts = [b"abcd", b"", b"xy"]
+    got = np.concatenate(list(ctw.grams(texts, 3, block))).tolist()
+    wanted = []
+    for t in texts:
+        data = bytes([ctw.END]) * 3 + t + bytes([ctw.END])
+        wanted += [int.from_bytes(data[i - 3 : i][::-1] + data[i : i + 1]) for i in range(3, len(data))]
+    assert got == wanted
 
 
 def test_kt_of_large_counts():
