@@ -50,20 +50,18 @@ def half(values: np.ndarray) -> np.ndarray:
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Lists as rows of doubles; a null list or one of another length becomes zeros, whose cosine is 0."""
-    fits = np.array([x is not None and len(x) == dim for x in column], bool) if column.null_count or not _even(column, dim) else None
-    if fits is None:
-        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    """Lists as rows of doubles; a null list or one of another length becomes zeros, whose cosine is 0, and a null component 0."""
+    lengths = np.diff(column.offsets.to_numpy())
+    fits = (lengths == dim) & column.is_valid().to_numpy(zero_copy_only=False)
+    first, last = column.offsets[0].as_py(), column.offsets[-1].as_py()
+    flat = column.values.slice(first, last - first).fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+    if fits.all():
+        return flat.reshape(-1, dim)
     out = np.zeros((len(column), dim))
-    for i in np.flatnonzero(fits).tolist():
-        out[i] = np.array([0.0 if v is None else v for v in column[i].as_py()])
+    out[fits] = flat[np.repeat(fits, lengths)].reshape(-1, dim)
     return out
 
 
-def _even(column: pa.Array, dim: int) -> bool:
-    return bool((np.diff(column.offsets.to_numpy()) == dim).all())
-
-
 def unit(m: np.ndarray) -> np.ndarray:
     n = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)

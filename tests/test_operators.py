@@ -178,6 +178,19 @@ def test_batch_search_equals_single_searches_and_breaks_ties_by_id(spark):
         assert rows(batch.where(F.col("query_id") == q).orderBy("rank").select("vec_id", "score")) == one
 
 
+@pytest.mark.parametrize("page", [16, 4096])
+def test_approximate_search_scores_exactly_in_any_blocks(spark, page):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(8, 10))[rng.integers(0, 8, 300)] + 0.1 * rng.normal(size=(300, 10)), 3)
+    corpus = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(900, None)], "vec_id long, embedding array<double>")
+    asked = corpus.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = search.top_k_ann(corpus, asked, 5, tables=12, bits=4, digits=6, page=page).collect()
+    exact = {(r["query_id"], r["vec_id"]) for r in search.top_k_batch(corpus, asked, 5, digits=6).collect()}
+    assert all(r["score"] == pytest.approx(unit[r["query_id"]] @ unit[r["vec_id"]], abs=1e-6) for r in got)
+    assert len(got) == 100 and len({(r["query_id"], r["vec_id"]) for r in got} & exact) >= 90
+
+
 def test_other_modes_are_refused(spark):
     with pytest.raises(NotImplementedError):
         search.top_k(spark.range(1), [1.0], 1, mode="mmr")
