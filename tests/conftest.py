@@ -58,7 +58,7 @@ def agrees(duck):
     """Asserts that a DataFrame has what a statement gives in DuckDB."""
 
     def check(df, sql: str) -> None:
-        got, wanted = canonical(df.toArrow()), canonical(duck.execute(sql).to_arrow_table())
+        got, wanted = canonical(df.toArrow()), canonical(duck.sql(sql).to_arrow_table())
         assert got[0] == wanted[0]
         assert got[1] == wanted[1]
 
