@@ -241,8 +241,9 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     found = common.stored(fingerprints(docs, id_col, text_col, words, bits), "fingerprints")
     distinct = common.stored(found.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     labels = components(links(distinct, bits, distance, tables))
-    by_fp = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    least = by_fp.groupBy("label").agg(F.min("least").alias("component_id"))
+    by_fp = common.stored(distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "labelled")
+    # written, so that the join below has a plain exchange on either side and a large component can be split
+    least = common.stored(by_fp.groupBy("label").agg(F.min("least").alias("component_id")), "least")
     # two joins on keys that many rows may share; both sides are shuffled by the key, so the adaptive join splits a hot one
     by_fp = by_fp.join(least, "label").select("fp", "component_id")
     return found.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
