@@ -19,6 +19,7 @@ id; scoring is one narrow pass with a small broadcast model.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -152,7 +153,9 @@ def _sample(frame: DataFrame, id_col: str, text_col: str, n: int) -> np.ndarray:
             yield pa.record_batch([pa.array([features(t).tobytes() for t in b.column(0).cast(pa.binary()).to_pylist()], pa.binary())], names=["x"])
 
     rows = chosen.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "x binary").limit(2 * n).collect()
-    return np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, N_FEATURES)
+    # in an order of their own, so the same rows give the same model however they were dealt
+    ordered = sorted((bytes(r["x"]) for r in rows), key=lambda x: hashlib.sha256(x).digest())
+    return np.frombuffer(b"".join(ordered), np.float32).reshape(-1, N_FEATURES)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000, folds: int = 3, held_fold: int = 1) -> Model:

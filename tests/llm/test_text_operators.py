@@ -244,6 +244,12 @@ def test_the_prior_and_the_classes_are_found():
     assert accuracy > 0.95
 
 
+def test_the_model_does_not_depend_on_how_rows_are_dealt(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    a, b = quality.train(docs, labels), quality.train(docs.repartition(7, "text"), labels.repartition(3))
+    assert (a.weight == b.weight).all() and (a.bias, a.prior) == (b.bias, b.prior)
+
+
 def test_held_out_documents_are_told_apart(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
