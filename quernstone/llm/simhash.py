@@ -13,12 +13,17 @@ a spanning forest of its links and not its pairs.  A cell of more points than
 ``cell_points`` is dealt into chunks and searched by pairs of chunks, each in a
 task of its own, so every pair of points is still compared.
 
+Near copies by the similarity of shingle sets take the grid's components as
+candidates and compare the sets themselves within each (``near``).
+
 Connected components come by alternating stars, from links alone, with every
 round's edges written to the shared folder.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -61,7 +66,11 @@ def widen(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, words: int = 3, bits: int = 64) -> bytes:
     """Big-endian fingerprint: a bit is 1 where over half the shingles' hashes have it."""
-    hashes = shingle_hashes(text, words)
+    return folded(shingle_hashes(text, words), bits)
+
+
+def folded(hashes: np.ndarray, bits: int) -> bytes:
+    """The fingerprint of some hashes."""
     if not len(hashes):
         return bytes(bits // 8)
     ones = np.zeros(bits, np.int64)
@@ -109,8 +118,24 @@ def _rows(column: pa.Array, width: int) -> np.ndarray:
 
 def forest(fps: np.ndarray, distance: int, segment: int = 2) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among some distinct fingerprints."""
-    n = len(fps)
-    counts, whole = segment_counts(fps, segment), np.ascontiguousarray(fps).view(np.uint64)
+    n, whole = len(fps), np.ascontiguousarray(fps).view(np.uint64)
+    if segment == 1 and n <= 4096:  # the bits are the counts, and all pairs are compared at once
+        apart = np.zeros((n, n), np.uint16)
+        for w in whole.T:
+            apart += np.bitwise_count(w[:, None] ^ w)
+        close = apart <= distance
+        left, edges = close.sum(axis=1) > 1, []
+        while left.any():
+            queue = [int(left.argmax())]
+            left[queue] = False
+            while queue:
+                at = queue.pop()
+                found = np.flatnonzero(close[at] & left).tolist()
+                left[found] = False
+                edges += [(at, x) for x in found]
+                queue += found
+        return edges
+    counts = segment_counts(fps, segment)
     left, edges, queue = np.arange(n), [], []
     while len(left):
         if not queue:
@@ -241,28 +266,131 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     found = common.stored(fingerprints(docs, id_col, text_col, words, bits), "fingerprints")
     distinct = common.stored(found.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     labels = components(links(distinct, bits, distance, tables))
-    by_fp = common.stored(distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "labelled")
+    return _named(found, distinct, labels, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def _named(found: DataFrame, distinct: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """``found`` with the least id of each row's component; ``distinct`` has each ``key`` once, with its ``least`` id."""
+    by_key = common.stored(distinct.join(labels, distinct[key] == labels["node"], "left").select(key, "least", F.coalesce("label", key).alias("label")), "labelled")
     # written, so that the join below has a plain exchange on either side and a large component can be split
-    least = common.stored(by_fp.groupBy("label").agg(F.min("least").alias("component_id")), "least")
+    least = common.stored(by_key.groupBy("label").agg(F.min("least").alias("component_id")), "least")
     # two joins on keys that many rows may share; both sides are shuffled by the key, so the adaptive join splits a hot one
-    by_fp = by_fp.join(least, "label").select("fp", "component_id")
-    return found.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    by_key = by_key.join(least, "label").select(key, "component_id")
+    return found.join(by_key, key)
+
+
+#: Five-word shingles and a Jaccard similarity of 4/5.  The fingerprints only find candidates: at that similarity 15 % of the bits differ, and 19 % of the shortest texts', so beyond ``distance`` of 256 are less than one pair in 1,000.
+NEAR = {"words": 5, "bits": 256, "distance": 70, "similarity": (4, 5)}
+
+
+def grid_misses(differs: float, coordinates: int, tables: int, bits: int = 256, distance: int = NEAR["distance"]) -> float:
+    """How likely a pair whose bits differ with a probability is to share no cell, or to be beyond ``distance``; tables share a pair's bits, so it goes by the bits that differ."""
+    n, all_misses = math.comb(bits, coordinates), 0.0
+    for d in range(bits + 1):
+        law = math.comb(bits, d) * differs**d * (1 - differs) ** (bits - d)
+        all_misses += law * ((1 - math.comb(bits - d, coordinates) / n) ** tables if d <= distance else 1)
+    return all_misses
+
+
+def near_tables(points: int) -> list[list[int]]:
+    """Tables of one-bit segments for the sampled grid over some points.
+
+    A cell holds 256 points or so, and there are as many tables as miss no more
+    than one in 40,000 of the pairs at a similarity of 0.8 whose bits differ most
+    (16.2 %; one of the kind of four and five shingles, 19 %, is missed once in
+    1,000 or so).
+    """
+    coordinates, tables = max(10, math.ceil(math.log2(max(points, 1) / 256))), 96
+    while grid_misses(0.1615, coordinates, tables) > 2.5e-5:
+        tables += 16
+    return sampled(NEAR["bits"], tables, coordinates, segment=1)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> DataFrame:
+    """(row, id, key, fp, size, text): digest and fingerprint of each row's set of shingles, and the text with its bytes."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for k in range(0, b.num_rows, 500):
+                s = b.slice(k, 500)
+                sets = [np.unique(shingle_hashes(t, words)) for t in s.column(1).cast(pa.binary()).to_pylist()]
+                keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+                yield pa.record_batch([s.column(0), pa.array(keys, pa.binary()), pa.array([folded(x, bits) for x in sets], pa.binary()), s.column(1)], names=["id", "key", "fp", "text"])
 
-#: Five-word shingles and a similarity of 0.8: at that Jaccard similarity 15 % of the bits differ, 39 of 256 on average.
-NEAR = {"words": 5, "bits": 256, "distance": 46}
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, key binary, fp binary, text string")
+    return rows.select(F.monotonically_increasing_id().alias("row"), "id", "key", "fp", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
 
 
-def near_tables(tables: int = 96, coordinates: int = 10) -> list[list[int]]:
-    """Tables of two-bit segments for the sampled grid.
+def alike(sets: list[np.ndarray], similarity: tuple[int, int]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs of sets whose Jaccard similarity is the fraction ``similarity`` or more."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(n), sizes)[np.argsort(ids, kind="stable")]
+    at_value = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(values)))])
+    at_set = np.concatenate([[0], np.cumsum(sizes)])
+    left, edges, queue = np.arange(n), [], []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+        at = queue.pop()
+        own = ids[at_set[at] : at_set[at + 1]]
+        lens = at_value[own + 1] - at_value[own]
+        spots = np.repeat(at_value[own] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
+        shared = np.bincount(holders[spots], minlength=n)[left]
+        some = shared * similarity[1] >= similarity[0] * (sizes[at] + sizes[left] - shared)
+        found = left[some].tolist()
+        edges += [(at, x) for x in found]
+        queue += found
+        left = left[~some]
+    return edges
+
+
+def same(texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): keys of texts that are alike by their exact shingle sets; ``texts`` has label, i, j, key and text, and those of a (label, i, j) are compared."""
 
-    Two texts whose shingles have a similarity of 0.8 keep a segment's count with
-    a probability of 0.73, so of such pairs 98 % share a cell of some table, and
-    of more similar ones almost all do.  A table has 2^(1.4 * coordinates) cells
-    or so; for more than some millions of distinct texts take more coordinates,
-    and log(1 - recall) / log(1 - 0.73^coordinates) tables to keep the recall.
+    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, keys, sets = None, [], []
+
+        def edges() -> pa.RecordBatch:
+            found = alike(sets, similarity) if len(sets) > 1 else []
+            return pa.record_batch([pa.array([keys[e[x]] for e in found], pa.binary()) for x in (0, 1)], names=["a", "b"])
+
+        for b in it:
+            for *of, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if of != group:
+                    yield edges()
+                    group, keys, sets = of, [], []
+                keys.append(key)
+                sets.append(np.unique(shingle_hashes((text or "").encode(), words)))
+        yield edges()
+
+    rows = texts.select("label", "i", "j", "key", "text").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    return rows.mapInArrow(search, "a binary, b binary").distinct()
+
+
+def near(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int, distance: int, similarity: tuple[int, int], tables: list[list[int]] | None = None, chunk_texts: int = 1024, chunk_bytes: int = 16 << 20) -> DataFrame:
+    """(id, component_id) for every row, by links between texts whose shingle sets have a Jaccard ``similarity`` or more.
+
+    Texts of one set are one point.  Components of the grid's links within
+    ``distance`` are the candidates; within each, all pairs are compared by their
+    shingles, and only the pairs that are alike link.  A component of more than
+    ``chunk_texts`` or ``chunk_bytes`` is dealt into chunks, and each pair of
+    chunks is compared in a task of its own.
     """
-    return sampled(NEAR["bits"], tables, coordinates)
+    found = common.stored(sketches(docs, id_col, text_col, words, bits), "sketches")
+    distinct = common.stored(found.groupBy("key").agg(F.min("fp").alias("fp"), F.min("id").alias("least"), F.min(F.struct("row", "size")).alias("first")), "distinct")
+    points = distinct.select("fp").distinct()
+    tables = near_tables(points.count()) if tables is None else tables
+    grid = components(links(points, bits, distance, tables, segment=1))
+    placed = distinct.join(grid, distinct["fp"] == grid["node"], "left").select("key", "first.*", F.coalesce("label", "fp").alias("label"))
+    placed = common.stored(placed, "placed")
+    crowd = placed.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    k = F.greatest(F.ceil(F.col("n") / chunk_texts), F.ceil(F.col("bytes") / chunk_bytes)).cast("int")
+    dealt = placed.join(crowd, "label").select("row", "key", "label", F.pmod(F.xxhash64("key"), k).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), k - 1)).alias("j"))
+    dealt = common.stored(dealt.select("row", "key", "label", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j")), "candidates")
+    labels = components(same(found.select("row", "text").join(dealt, "row"), words, similarity))
+    return _named(found.select("id", "key"), distinct, labels, "key").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
@@ -271,8 +399,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Of rows that repeat that id one stays.  Rows with a null id can't be named
     by a group, and one of each text stays.  An empty table stays empty.
     """
-    more = {**NEAR, "tables": near_tables(), **more}
-    groups = common.stored(group(docs, id_col, text_col, **more), "groups")
+    groups = common.stored(near(docs, id_col, text_col, **{**NEAR, **more}), "groups")
     keep = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep"))
     # rows go into a struct, so their columns may have any names
     rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
