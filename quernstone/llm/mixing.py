@@ -182,7 +182,10 @@ def report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     """
     sized, goal, blocks = mix(docs, id_col, source_col=source_col, **more)
     key = F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_key")
-    taken = blocks.groupBy(key, F.coalesce("_source", F.lit("")).alias("_s0"), F.col("_source").isNull().alias("_s1")).agg(F.sum("words").alias("taken"), F.count("*").alias("blocks"), F.size(F.collect_set("shard")).cast("long").alias("shards"))
+    owner = [key, F.coalesce("_source", F.lit("")).alias("_s0"), F.col("_source").isNull().alias("_s1")]
+    # what each shard holds of a document, and from that all it gives: the figures are of the blocks as dealt, even where ``shards`` is dropped
+    held = blocks.groupBy(*owner, "shard").agg(F.sum("words").alias("words"), F.count("*").alias("n"))
+    taken = held.groupBy("_key", "_s0", "_s1").agg(F.sum("words").alias("taken"), F.sum("n").alias("blocks"), F.count("*").alias("shards"))
     zero = F.lit(0).cast("long")
     left = sized.withColumn("_key", key).withColumn("_s0", F.coalesce("_source", F.lit(""))).withColumn("_s1", F.col("_source").isNull())
     goal = goal.select(F.coalesce("_source", F.lit("")).alias("_s0"), F.col("_source").isNull().alias("_s1"), "source_size", "target")
@@ -192,7 +195,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 1 << 30, **more) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as a block of it was drawn, all columns as they are.
+    """The mix itself: each row of ``docs`` as often as a block of it was drawn, all columns as they are, by shard and by the order within it.
 
     With blocks as large as any document, documents are drawn whole.  Documents
     without words have nothing to draw and are left out; rows that repeat an id
@@ -200,10 +203,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     _, _, blocks = mix(docs, id_col, text_col, source_col, block_words=block_words, **more)
     key, source = F.coalesce(F.col("_id").cast("string"), F.lit("")), F.coalesce(F.col("_source"), F.lit(""))
-    times = blocks.select(key.alias("_key"), source.alias("_s0"), F.col("_source").isNull().alias("_s1"), "epoch").distinct()
+    times = blocks.groupBy(key.alias("_key"), source.alias("_s0"), F.col("_source").isNull().alias("_s1"), "epoch").agg(F.min(F.struct("shard", "order")).alias("_at"))
     # rows go into a struct, so their columns may have any names
     own = docs.select(
         F.struct("*").alias("_row"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("_key"),
         F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("_s0"), F.col(f"`{source_col}`").isNull().alias("_s1"),
     )
-    return own.join(times, ["_key", "_s0", "_s1"]).select("_row.*")
+    # a range sort: files in the order of their names hold shard after shard, each in its own order
+    return own.join(times, ["_key", "_s0", "_s1"]).orderBy("_at.shard", "_at.order", "_key", "epoch").select("_row.*")
