@@ -250,7 +250,8 @@ def name_kind(part: str, gender: str) -> str:
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all entities, apart and in order; a name gives one for each of its parts."""
-    words = set(text.encode("utf-8", "surrogatepass").translate(_SPACED).split())
+    # a title or a listed name always is a whole run of word characters, as the patterns see them
+    words = set(text.encode().translate(_SPACED).split()) if text.isascii() else {w.encode("utf-8", "surrogatepass") for w in re.findall(r"\w+", text)}
     titled, listed = not words.isdisjoint(_TITLE_WORDS), not words.isdisjoint(_NAME_WORDS)
     near = {"email": _windows(text, _AT, 330)} if "@" in text else {}
     digits = _windows(text, _DIGITS, 48)
