@@ -12,9 +12,9 @@ one cycle through the whole set, so
 
 Forms keep what a reader sees: lengths, separators, letter case, the script and
 its vowels, a card's issuer digit and check digit, an address's class, a given
-name's gender and script.  Values of a document are checked on top: a surrogate
-that equals another original of the document, or another one's surrogate, moves
-on along the cycle.
+name's gender and script.  A surrogate may equal another original of its text,
+whose own surrogate differs from it again; moving it on would give its value two
+surrogates in the corpus.
 
 Names are found by titles and by lists of given names; a part of a found name
 that stands alone later in the document is the same person's and is replaced
@@ -184,6 +184,9 @@ def _digits(text: str) -> list[int]:
     return [int(c) for c in text if c.isascii() and c.isdigit()]
 
 
+_NETWORKS = [ipaddress.IPv4Network(n) for n in "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4".split()]
+
+
 def next_value(keyed: Keyed, kind: str, text: str) -> str:
     """The successor of a value among the values of its kind and form."""
     if kind == "email":
@@ -215,18 +218,15 @@ def next_value(keyed: Keyed, kind: str, text: str) -> str:
         return got[:2] + f"{check:02d}" + got[4:]
     if kind == "ipv4":
         address = ipaddress.IPv4Address(".".join(str(int(p)) for p in text.split(".")))
-        x, private = int(address), address.is_private
+        # an address of a special network stays in it, and others stay outside all of them
+        for net in _NETWORKS:
+            if address in net:
+                return str(net[keyed.after(str(net), net.num_addresses, int(address) - int(net[0]))])
+        x = int(address)
         while True:
             x = keyed.after("ipv4", 1 << 32, x)
-            if private or not (a := ipaddress.IPv4Address(x)).is_private and not a.is_multicast and not a.is_reserved:
-                if not private:
-                    return str(ipaddress.IPv4Address(x))
-                # a private address stays in its network
-                for net in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8"):
-                    n = ipaddress.IPv4Network(net)
-                    if address in n:
-                        return str(n[keyed.after(net, n.num_addresses, int(address) - int(n[0]))])
-                return str(ipaddress.IPv4Address(x))
+            if not any((got := ipaddress.IPv4Address(x)) in net for net in _NETWORKS):
+                return str(got)
     if kind == "ipv6":
         return ":".join(f"{keyed.after('ipv6-' + str(i) + ':' + str(len(p)), 16 ** len(p), int(p, 16)):0{len(p)}x}" for i, p in enumerate(text.lower().split(":")))
     if kind.startswith("given-"):
@@ -241,8 +241,12 @@ def script_of(text: str) -> str:
 
 
 def name_kind(part: str, gender: str) -> str:
-    """A listed given name's list, or else a pseudonym's kind."""
-    if part in _GENDER and (not gender or _GENDER[part][1] == gender):
+    """A listed given name's list, or else a pseudonym's kind.
+
+    It goes by the name alone, whatever the title's ``gender``: a surname that is
+    a given name too has one surrogate in all texts.
+    """
+    if part in _GENDER:
         script, own = _GENDER[part]
         return f"given-{script}-{own}"
     return f"name-{script_of(part)}"
@@ -284,26 +288,21 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 def replace(text: str, keyed: Keyed) -> tuple[str, list[tuple[int, int, str]], int]:
-    """The text with surrogates, the entities' places in the original, and how often a check moved a surrogate on."""
+    """The text with surrogates, the entities' places in the original, and how many surrogates are not their value's successor: none, as nothing moves them."""
     spans = find(text)
     if not spans:
         return text, spans, 0
-    originals, chosen, used, moved = {text[a:b] for a, b, _ in spans}, {}, set(), 0
-    for a, b, kind in spans:
-        value = text[a:b]
-        if (kind, value) in chosen:
-            continue
-        got, steps = next_value(keyed, kind, value), 0
-        while (got in originals or got in used) and steps < 64:
-            got, steps = next_value(keyed, kind, got), steps + 1
-        moved += steps > 0
-        used.add(got)
-        chosen[kind, value] = got
+    made = written(text, spans, keyed)
     out, at = [], 0
     for a, b, kind in spans:
-        out += [text[at:a], chosen[kind, text[a:b]]]
+        out += [text[at:a], made[kind, text[a:b]]]
         at = b
-    return "".join([*out, text[at:]]), spans, moved
+    return "".join([*out, text[at:]]), spans, 0
+
+
+def written(text: str, spans: list[tuple[int, int, str]], keyed: Keyed) -> dict[tuple[str, str], str]:
+    """The surrogate of each kind and value among the entities of a text."""
+    return {(kind, value): next_value(keyed, kind, value) for kind, value in sorted({(kind, text[a:b]) for a, b, kind in spans})}
 
 
 def default_key(secret: str) -> bytes:
@@ -346,9 +345,8 @@ def collisions(docs: DataFrame, text_col: str = "text", secret: str = "change me
         for b in it:
             rows = set()
             for t in b.column(0).to_pylist():
-                for a, e, kind in find(t or ""):
-                    rows.add((kind, t[a:e]))
-            made = [(kind, hashlib.sha256(v.encode()).hexdigest(), hashlib.sha256(next_value(keyed, kind, v).encode()).hexdigest()) for kind, v in sorted(rows)]
+                rows.update((kind, v, got) for (kind, v), got in written(t, find(t), keyed).items())
+            made = [(kind, hashlib.sha256(v.encode()).hexdigest(), hashlib.sha256(got.encode()).hexdigest()) for kind, v, got in sorted(rows)]
             yield pa.record_batch([pa.array([m[i] for m in made], pa.string()) for i in range(3)], names=["kind", "original", "surrogate_sha256"])
 
     pairs = docs.select(common.text_or_empty(text_col).alias("text")).mapInArrow(run, "kind string, original string, surrogate_sha256 string").distinct()
