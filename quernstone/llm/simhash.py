@@ -1,23 +1,27 @@
 """SimHash near-duplicates by segment bit counts.
 
-A fingerprint's bits are cut into segments, and the counts of ones by segment
-are a point whose Manhattan distance to another point never exceeds the
-fingerprints' Hamming distance.  Points are joined on a grid over groups of
-coordinates: within distance d, of d + j groups at least j stay equal, so each
-choice of j groups is a table whose cells hold all pairs that the bound allows.
-In a cell the Manhattan distance over all coordinates drops most pairs, and the
-Hamming distance of the whole fingerprints decides.
-
-Equal fingerprints are one point, however many documents have it.  A cell gives
-a spanning forest of its links and not its pairs.  A cell of more points than
-``cell_points`` is dealt into chunks and searched by pairs of chunks, each in a
-task of its own, so every pair of points is still compared.
+A fingerprint's bits are cut into segments of one or two, and the counts of ones
+by segment are a point whose Manhattan distance to another point never exceeds
+the fingerprints' Hamming distance.  Points are joined on a grid over groups of
+coordinates.  For small distances a pigeonhole gives the groups: within distance
+d, of d + j groups at least j stay equal, so each choice of j groups is a table
+whose cells hold all pairs that the bound allows.  For large ones groups are
+sampled.  In a cell the Manhattan distance over all coordinates drops most pairs,
+and the Hamming distance of the whole fingerprints decides.
+
+Equal fingerprints are one point, however many documents have it.  Points go to
+cells by whole-number expressions on the fingerprint's words, and one shuffle
+brings a cell's points together, in order.  A cell gives a spanning forest of
+its links and not its pairs, each tree grown from its least point, so that the
+many tables name few edges between them.  A cell of more than ``cell_points`` is
+only counted there; its points then come again, dealt into chunks, and each pair
+of chunks is compared in a task of its own.
 
 Near copies by the similarity of shingle sets take the grid's components as
 candidates and compare the sets themselves within each (``near``).
 
 Connected components come by alternating stars, from links alone, with every
-round's edges written to the shared folder.
+round's edges written to the shared folder and the last round's deleted.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -100,6 +104,15 @@ def pigeonhole(bits: int, distance: int, equal: int, segment: int = 2) -> list[l
     return [np.concatenate([groups[g] for g in choice]).tolist() for choice in combinations(range(distance + equal), equal)]
 
 
+def exact_tables(points: int, bits: int, distance: int, segment: int = 2, cell_points: int = 64) -> list[list[int]]:
+    """The pigeonhole whose cells hold some ``cell_points`` of so many points: more groups stay equal as the points grow."""
+    per_segment = {1: 1.0, 2: 1.415}[segment]  # fewest bits that tell two counts apart, of binomial ones
+    equal = 2
+    while points / cell_points > 2 ** (per_segment * (bits // segment) * equal / (distance + equal)) and equal < bits // segment - distance:
+        equal += 1
+    return pigeonhole(bits, distance, equal, segment)
+
+
 def sampled(bits: int, tables: int, coordinates: int, segment: int = 2, seed: int = 1) -> list[list[int]]:
     """Tables of ``coordinates`` random segments each, for distances that a pigeonhole doesn't reach."""
     rng = np.random.default_rng(seed)
@@ -112,144 +125,205 @@ def segment_counts(fps: np.ndarray, segment: int = 2) -> np.ndarray:
     return np.unpackbits(fps, axis=1).reshape(n, width * 8 // segment, segment).sum(axis=2, dtype=np.int8)
 
 
-def _rows(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
-
-
-def forest(fps: np.ndarray, distance: int, segment: int = 2) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among some distinct fingerprints."""
-    n, whole = len(fps), np.ascontiguousarray(fps).view(np.uint64)
-    if segment == 1 and n <= 4096:  # the bits are the counts, and all pairs are compared at once
-        apart = np.zeros((n, n), np.uint16)
-        for w in whole.T:
-            apart += np.bitwise_count(w[:, None] ^ w)
-        close = apart <= distance
-        left, edges = close.sum(axis=1) > 1, []
-        while left.any():
-            queue = [int(left.argmax())]
-            left[queue] = False
-            while queue:
-                at = queue.pop()
-                found = np.flatnonzero(close[at] & left).tolist()
-                left[found] = False
-                edges += [(at, x) for x in found]
-                queue += found
-        return edges
-    counts = segment_counts(fps, segment)
-    left, edges, queue = np.arange(n), [], []
-    while len(left):
-        if not queue:
-            queue, left = [int(left[0])], left[1:]
-        at = queue.pop()
-        if not len(left):
-            continue
-        near = np.abs(counts[left] - counts[at]).sum(axis=1, dtype=np.int32) <= distance
-        if near.any():
-            some = np.flatnonzero(near)
-            some = some[np.bitwise_count(whole[left[some]] ^ whole[at]).sum(axis=1) <= distance]
-            if len(some):
-                found = left[some].tolist()
-                edges += [(at, x) for x in found]
-                queue += found
-                left = np.delete(left, some)
+_PAIRS = np.uint64(0x5555555555555555)
+
+
+def embed(words: np.ndarray, segment: int) -> np.ndarray:
+    """Counts of ones by segment, packed into the words' own bits: the bit itself, or the sum of two neighbours."""
+    return words if segment == 1 else (words & _PAIRS) + ((words >> np.uint64(1)) & _PAIRS)
+
+
+def manhattan(a: np.ndarray, b: np.ndarray, segment: int) -> np.ndarray:
+    """Sum over segments of the difference of packed counts."""
+    if segment == 1:
+        return np.bitwise_count(a ^ b).astype(np.int16)
+    # two-bit fields of 0..2: they differ by 2 where the high bits do and the low ones are both clear
+    x = a ^ b
+    low, high = x & _PAIRS, (x >> np.uint64(1)) & _PAIRS
+    return np.bitwise_count(low).astype(np.int16) + 2 * np.bitwise_count(high & ~low & _PAIRS).astype(np.int16)
+
+
+def masks(table: list[int], bits: int, segment: int) -> list[int]:
+    """The table's segments as bits of each 64-bit word, as signed numbers."""
+    out = [0] * (bits // 64)
+    for s in table:
+        for bit in range(s * segment, (s + 1) * segment):
+            out[bit // 64] |= 1 << (63 - bit % 64)
+    return [x - (1 << 64) if x >> 63 else x for x in out]
+
+
+def forest(words: np.ndarray, distance: int, segment: int = 2, block: int = 256) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among some distinct fingerprints, given as (n, words) numbers; trees grow from their first."""
+    n, counts = len(words), embed(words, segment)
+    close = np.zeros((n, n), bool)
+    for i in range(0, n, block):
+        near = np.zeros((min(block, n - i), n - i), np.int16)
+        for w in counts.T:
+            near += manhattan(w[i : i + block, None], w[None, i:], segment)
+        near = near <= distance
+        if segment > 1:
+            a, b = np.nonzero(near)
+            near[a, b] = np.bitwise_count(words[i + a] ^ words[i + b]).sum(axis=1) <= distance
+        close[i : i + block, i:] |= near
+        close[i:, i : i + block] |= near.T
+    left, edges = close.sum(axis=1) > 1, []
+    while left.any():
+        queue = [int(left.argmax())]
+        left[queue] = False
+        while queue:
+            at = queue.pop()
+            found = np.flatnonzero(close[at] & left).tolist()
+            left[found] = False
+            edges += [(at, x) for x in found]
+            queue += found
     return edges
 
 
-def links(fps: DataFrame, bits: int, distance: int, tables: list[list[int]], segment: int = 2, cell_points: int = 2048) -> DataFrame:
-    """(a, b): edges that connect exactly the fingerprints whose links some cell holds.  ``fps`` has distinct ``fp``."""
-    width = bits // 8
-    mult = np.random.default_rng(5).integers(1, 1 << 62, (len(tables), bits // segment), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for k in range(0, b.num_rows, 2000):
-                column = b.column(0).slice(k, 2000)
-                counts = segment_counts(_rows(column, width), segment).astype(np.uint64)
-                for t, chosen in enumerate(tables):
-                    # a hash of the cell's coordinates; two cells that share one are searched together, which loses nothing
-                    h = ((counts[:, chosen] + np.uint64(1)) * mult[t, chosen]).sum(axis=1, dtype=np.uint64) + np.uint64(t * 0x9E3779B97F4A7C15 % 2**64)
-                    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                    yield pa.record_batch([pa.array((h ^ (h >> np.uint64(29))).view(np.int64)), column], names=["cell", "fp"])
-
-    dealt = fps.select("fp").mapInArrow(cells, "cell long, fp binary")
-    full = dealt.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    k = F.ceil(F.col("n") / cell_points).cast("int")
-    chunk = F.pmod(F.xxhash64("fp"), k).cast("int")
-    rows = dealt.join(full, "cell").select("cell", "fp", chunk.alias("c"), F.explode(F.sequence(F.lit(0), k - 1)).alias("j"))
-    rows = rows.select("cell", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j"), "fp")
+def _near(words: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int, segment: int) -> np.ndarray:
+    """Which of some pairs link: first by the Manhattan bound, then by the Hamming distance."""
+    counts = embed(words, segment)
+    near = np.flatnonzero(sum(manhattan(w[i], w[j], segment) for w in counts.T) <= distance)
+    if segment > 1:
+        near = near[np.bitwise_count(words[i[near]] ^ words[j[near]]).sum(axis=1) <= distance]
+    return near
+
+
+def _edges(keys: np.ndarray, words: np.ndarray, distance: int, segment: int, cell_points: int) -> tuple[list[np.ndarray], list[np.ndarray], list[tuple[int, int]]]:
+    """Links within runs of equal keys, and the keys and sizes of the runs of over ``cell_points``, which are not searched."""
+    starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+    sizes = np.diff(np.append(starts, len(keys)))
+    a, b, large = [], [], []
+    few = starts[(sizes == 2) | (sizes == 3)]
+    three = starts[sizes == 3]
+    i, j = np.concatenate([few, three, three]), np.concatenate([few + 1, three + 2, three + 1])
+    i[len(few) + len(three) :] += 2  # the third pair of three is (third, second)
+    if len(i):
+        near = _near(words, i, j, distance, segment)
+        a.append(i[near])
+        b.append(j[near])
+    for s, n in zip(starts[sizes > 3].tolist(), sizes[sizes > 3].tolist(), strict=True):
+        if n > cell_points:
+            large.append((s, n))
+        elif found := forest(words[s : s + n], distance, segment):
+            x = np.array(found)
+            a.append(s + x[:, 0])
+            b.append(s + x[:, 1])
+    return a, b, large
+
+
+def _searcher(n_keys: int, width: int, distance: int, segment: int, cell_points: int):
+    """A function over batches of sorted rows (keys..., words...): edges (a, b), and (cell, n) of cells of more points than are held."""
+
+    def batch(words: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], large: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        none, no_edge = [None] * len(a), [None] * len(large)
+        packed = [np.ascontiguousarray(words[x]).astype(">u8").view(f"V{8 * width}").ravel().tolist() for x in (a, b)]
+        cells = [none + [c for c, _ in large], none + [n for _, n in large]]
+        return pa.record_batch([*(pa.array(x + no_edge, pa.binary()) for x in packed), *(pa.array(x, pa.int64()) for x in cells)], names=["a", "b", "cell", "n"])
 
-    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in it:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows >= 2000:
-                edge, held = work(held, last=False)
-                if edge is not None:
-                    yield edge
-        if held is not None:
-            edge, _ = work(held, last=True)
-            if edge is not None:
-                yield edge
-
-    def work(t: pa.Table, last: bool):
-        t = t.combine_chunks()
-        keys = [t.column(x).to_numpy() for x in ("cell", "i", "j")]
-        new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in keys])) + 1
-        starts = np.concatenate([[0], new])
-        ends = np.concatenate([new, [t.num_rows]])
-        if not last:  # the last group may go on
-            starts, ends, rest = starts[:-1], ends[:-1], int(starts[-1])
-        else:
-            rest = t.num_rows
-        if not len(starts):
-            return None, t
-        fps = _rows(t.column("fp").slice(0, rest), width)
-        a, b = [], []
-        two = ends - starts == 2
-        if two.any():
-            p = starts[two]
-            near = np.abs(segment_counts(fps[p], segment) - segment_counts(fps[p + 1], segment)).sum(axis=1, dtype=np.int32) <= distance
-            p = p[near]
-            p = p[np.bitwise_count(fps[p].view(np.uint64) ^ fps[p + 1].view(np.uint64)).sum(axis=1) <= distance]
-            a += p.tolist()
-            b += (p + 1).tolist()
-        for s, e in zip(starts[~two].tolist(), ends[~two].tolist(), strict=True):
-            if e - s > 2:
-                for x, y in forest(fps[s:e], distance, segment):
-                    a.append(s + x)
-                    b.append(s + y)
-        if not a:
-            return None, t.slice(rest)
-        take = lambda ix: pa.array([fps[i].tobytes() for i in ix], pa.binary())
-        return pa.record_batch([take(a), take(b)], names=["a", "b"]), t.slice(rest)
-
-    return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(search, "a binary, b binary").distinct()
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, words = np.zeros((0, n_keys), np.int64), np.zeros((0, width), np.uint64)
+        skipped: list = []  # the cell that is only counted, and its points so far
+
+        def work(whole: int) -> pa.RecordBatch:
+            a, b, large = _edges(keys[:whole], words[:whole], distance, segment, cell_points)
+            return batch(words[:whole], a, b, [(int(keys[s, 0]), n) for s, n in large])
+
+        for part in it:
+            columns = [c.to_numpy() for c in part.columns]
+            more, more_words = np.stack(columns[:n_keys], axis=1), np.stack(columns[n_keys:], axis=1).view(np.uint64)
+            if skipped:
+                run_on = int((more[:, 0] == skipped[0]).sum())  # sorted, so they stand first
+                skipped[1] += run_on
+                if run_on == len(more):
+                    continue
+                yield batch(words[:0], [], [], [tuple(skipped)])
+                skipped, more, more_words = [], more[run_on:], more_words[run_on:]
+            keys, words = np.concatenate([keys, more]), np.concatenate([words, more_words])
+            if len(keys) < 4096:
+                continue
+            last = len(keys) - int((keys == keys[-1]).all(axis=1).sum())
+            if last:
+                yield work(last)
+                keys, words = keys[last:], words[last:]
+            if len(keys) > cell_points:
+                skipped = [int(keys[0, 0]), len(keys)]
+                keys, words = keys[:0], words[:0]
+        if skipped:
+            yield batch(words[:0], [], [], [tuple(skipped)])
+        if len(keys):
+            yield work(len(keys))
+
+    return run
+
+
+def links(fps: DataFrame, bits: int, distance: int, tables: list[list[int]], segment: int = 2, cell_points: int = 4096) -> DataFrame:
+    """(a, b), stored: edges that connect exactly the fingerprints whose links some cell holds.  ``fps`` has distinct ``fp``."""
+    width, every = bits // 64, [masks(t, bits, segment) for t in tables]
+    names = [f"w{k}" for k in range(width)]
+    # big-endian words by way of hexadecimal: two halves of 32 bits each, as no function reads a signed 64-bit number
+    half = lambda k: F.conv(F.hex(F.substring("fp", 4 * k + 1, 4)), 16, 10).cast("long")
+    points = fps.select(*[F.shiftleft(half(2 * k), 32).bitwiseOR(half(2 * k + 1)).alias(n) for k, n in enumerate(names)])
+    low = F.lit(0x5555555555555555)
+
+    def cell(table: Column) -> Column:
+        """A hash of the table and the packed counts of its segments; two cells that share one are searched together, which loses nothing."""
+        chosen = [F.get(F.array(*[F.lit(m[k]) for m in every]), table) for k in range(width)]
+        even, odd = ([x.bitwiseAND(low) for x in y] for y in (map(F.col, names), [F.shiftrightunsigned(n, 1) for n in names]))
+        # sums of two bits, without a carry that could overflow
+        packed = [F.col(n) if segment == 1 else a.bitwiseXOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1)) for n, a, b in zip(names, even, odd, strict=True)]
+        return F.xxhash64(table, *[p.bitwiseAND(m) for p, m in zip(packed, chosen, strict=True)])
+
+    dealt = points.select(F.explode(F.sequence(F.lit(0), F.lit(len(tables) - 1))).alias("t"), *names)
+    # the cell is computed again after the shuffle rather than sent
+    first = dealt.repartition(cell(F.col("t"))).select(cell(F.col("t")).alias("cell"), *names).sortWithinPartitions("cell", *names)
+    kind = "a binary, b binary, cell long, n long"
+    found = common.stored(first.mapInArrow(_searcher(1, width, distance, segment, cell_points), kind), "cells")
+    edges = found.where("a is not null").select("a", "b")
+    crowded = found.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n"))
+    rest = None
+    if not crowded.isEmpty():
+        k = F.ceil(F.col("n") / (cell_points // 2)).cast("int")
+        chunk = F.pmod(F.xxhash64(*names), k).cast("int")
+        rows = dealt.select(cell(F.col("t")).alias("cell"), *names).join(crowded, "cell").select("cell", *names, chunk.alias("c"), F.explode(F.sequence(F.lit(0), k - 1)).alias("j"))
+        rows = rows.select("cell", F.least("c", "j").cast("long").alias("i"), F.greatest("c", "j").cast("long").alias("j"), *names).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", *names)
+        # two chunks hold some cell_points; where the hash deals one more, they are searched all the same
+        rest = common.stored(rows.mapInArrow(_searcher(3, width, distance, segment, 1 << 62), kind), "crowded")
+        edges = edges.unionByName(rest.select("a", "b"))
+    out = common.stored(edges.distinct(), "links")
+    common.drop(found, *([rest] if rest else []))
+    return out
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node of each linked node's component, by alternating large and small stars.
 
-    Edges alone are kept, one row for each; a hub's edges are met by a join that
-    the adaptive planner can split.  Each round is written to the shared folder.
+    Edges alone are kept, one row for each.  The least neighbours are written
+    before they are joined, so both sides of a star's join come straight from an
+    exchange and the adaptive planner can split a hub's edges over tasks.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges, before = common.stored(edges, "edges"), None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        # every neighbour above the node goes to the least node of its star
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = common.stored(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "large")
+        down = common.stored(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        edges = common.stored(small, "edges")
+        last, edges = edges, common.stored(small, "edges")
+        common.drop(last, least, large, down)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out = common.stored(out, "components")
+    common.drop(edges)
+    return out
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 64, distance: int = 3, tables: list[list[int]] | None = None) -> DataFrame:
@@ -260,30 +334,29 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     ones too, have fingerprint zero and so link to each other.  A row with a null
     id belongs to its component without naming it; one of null ids alone has a
     null component.  Rows that repeat an id are rows of their own.  Without
-    ``tables`` the grid misses no pair within ``distance``.
+    ``tables`` the grid misses no pair within ``distance``, and has as many
+    tables as the number of fingerprints needs.
     """
-    tables = pigeonhole(bits, distance, 3) if tables is None else tables
     found = common.stored(fingerprints(docs, id_col, text_col, words, bits), "fingerprints")
     distinct = common.stored(found.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    labels = components(links(distinct, bits, distance, tables))
-    return _named(found, distinct, labels, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    tables = exact_tables(distinct.count(), bits, distance) if tables is None else tables
+    edges = links(distinct, bits, distance, tables)
+    labels = components(edges)
+    by_fp = common.stored(distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "labelled")
+    # written, so that the joins below have a plain exchange on either side and a large component or a hot fingerprint can be split
+    least = common.stored(by_fp.groupBy("label").agg(F.min("least").alias("component_id")), "least")
+    named = common.stored(by_fp.join(least, "label").select("fp", "component_id"), "named")
+    common.drop(distinct, edges, labels, by_fp, least)
+    return found.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def _named(found: DataFrame, distinct: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """``found`` with the least id of each row's component; ``distinct`` has each ``key`` once, with its ``least`` id."""
-    by_key = common.stored(distinct.join(labels, distinct[key] == labels["node"], "left").select(key, "least", F.coalesce("label", key).alias("label")), "labelled")
-    # written, so that the join below has a plain exchange on either side and a large component can be split
-    least = common.stored(by_key.groupBy("label").agg(F.min("least").alias("component_id")), "least")
-    # two joins on keys that many rows may share; both sides are shuffled by the key, so the adaptive join splits a hot one
-    by_key = by_key.join(least, "label").select(key, "component_id")
-    return found.join(by_key, key)
+#: Five-word shingles and a Jaccard similarity of 4/5.  The fingerprints only find candidates: at that similarity 15 % of the bits differ, and 19 % of the shortest texts', so beyond ``distance`` of 192 are less than one pair in 10,000.
+NEAR = {"words": 5, "bits": 192, "distance": 58, "similarity": (4, 5)}
+#: Rows of ids and digests that are sent to every executor rather than joined by a shuffle: some 32 MB.
+SENT_ROWS = 250_000
 
 
-#: Five-word shingles and a Jaccard similarity of 4/5.  The fingerprints only find candidates: at that similarity 15 % of the bits differ, and 19 % of the shortest texts', so beyond ``distance`` of 256 are less than one pair in 1,000.
-NEAR = {"words": 5, "bits": 256, "distance": 70, "similarity": (4, 5)}
-
-
-def grid_misses(differs: float, coordinates: int, tables: int, bits: int = 256, distance: int = NEAR["distance"]) -> float:
+def grid_misses(differs: float, coordinates: int, tables: int, bits: int = NEAR["bits"], distance: int = NEAR["distance"]) -> float:
     """How likely a pair whose bits differ with a probability is to share no cell, or to be beyond ``distance``; tables share a pair's bits, so it goes by the bits that differ."""
     n, all_misses = math.comb(bits, coordinates), 0.0
     for d in range(bits + 1):
@@ -292,34 +365,39 @@ def grid_misses(differs: float, coordinates: int, tables: int, bits: int = 256,
     return all_misses
 
 
-def near_tables(points: int) -> list[list[int]]:
+def near_tables(points: int, cell_points: int = 2048) -> list[list[int]]:
     """Tables of one-bit segments for the sampled grid over some points.
 
-    A cell holds 256 points or so, and there are as many tables as miss no more
-    than one in 40,000 of the pairs at a similarity of 0.8 whose bits differ most
-    (16.2 %; one of the kind of four and five shingles, 19 %, is missed once in
-    1,000 or so).
+    A cell holds ``cell_points`` or fewer, and there are as many tables as miss
+    no more than one in 10,000 of the pairs at a similarity of 0.8 whose bits
+    differ most (16.2 %; one of the kind of four and five shingles, 19 %, is
+    missed once in 1,000 or so).
     """
-    coordinates, tables = max(10, math.ceil(math.log2(max(points, 1) / 256))), 96
-    while grid_misses(0.1615, coordinates, tables) > 2.5e-5:
-        tables += 16
+    coordinates, tables = max(8, math.ceil(math.log2(max(points, 1) / cell_points))), 16
+    while grid_misses(0.1615, coordinates, tables) > 1e-4:
+        tables += max(4, tables // 32)
     return sampled(NEAR["bits"], tables, coordinates, segment=1)
 
 
+def digest(text: Column) -> Column:
+    """MD5 of a text's bytes, a null one's being the empty text's."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> DataFrame:
-    """(row, id, key, fp, size, text): digest and fingerprint of each row's set of shingles, and the text with its bytes."""
+    """(id, key, fp, size): digest and bytes of each text, and the fingerprint of its set of shingles."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for k in range(0, b.num_rows, 500):
                 s = b.slice(k, 500)
-                sets = [np.unique(shingle_hashes(t, words)) for t in s.column(1).cast(pa.binary()).to_pylist()]
-                keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-                yield pa.record_batch([s.column(0), pa.array(keys, pa.binary()), pa.array([folded(x, bits) for x in sets], pa.binary()), s.column(1)], names=["id", "key", "fp", "text"])
+                texts = [t or b"" for t in s.column(1).cast(pa.binary()).to_pylist()]
+                fps = [folded(np.unique(shingle_hashes(t, words)), bits) for t in texts]
+                keys = [hashlib.md5(t, usedforsecurity=False).digest() for t in texts]
+                yield pa.record_batch([s.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.binary()), pa.array(map(len, texts), pa.int64())], names=["id", "key", "fp", "size"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, key binary, fp binary, text string")
-    return rows.select(F.monotonically_increasing_id().alias("row"), "id", "key", "fp", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, key binary, fp binary, size long")
 
 
 def alike(sets: list[np.ndarray], similarity: tuple[int, int]) -> list[tuple[int, int]]:
@@ -361,51 +439,72 @@ def same(texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame
                 if of != group:
                     yield edges()
                     group, keys, sets = of, [], []
+                elif key == keys[-1]:
+                    continue  # rows that repeat an id and a text
                 keys.append(key)
-                sets.append(np.unique(shingle_hashes((text or "").encode(), words)))
+                sets.append(np.unique(shingle_hashes((text or "").encode("utf-8", "surrogatepass"), words)))
         yield edges()
 
-    rows = texts.select("label", "i", "j", "key", "text").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    rows = texts.select("label", "i", "j", "key", "text").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "key")
     return rows.mapInArrow(search, "a binary, b binary").distinct()
 
 
-def near(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int, distance: int, similarity: tuple[int, int], tables: list[list[int]] | None = None, chunk_texts: int = 1024, chunk_bytes: int = 16 << 20) -> DataFrame:
-    """(id, component_id) for every row, by links between texts whose shingle sets have a Jaccard ``similarity`` or more.
+def _by_key(big: DataFrame, slim: DataFrame, how: str) -> DataFrame:
+    """``big`` joined with the rows of ``slim`` that have its id and key; a stored ``slim`` of few rows is sent, a larger one shuffled."""
+    if slim.count() <= SENT_ROWS:
+        slim = F.broadcast(slim)
+    return big.join(slim, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")), how)
+
 
-    Texts of one set are one point.  Components of the grid's links within
-    ``distance`` are the candidates; within each, all pairs are compared by their
-    shingles, and only the pairs that are alike link.  A component of more than
-    ``chunk_texts`` or ``chunk_bytes`` is dealt into chunks, and each pair of
-    chunks is compared in a task of its own.
+def near(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int, distance: int, similarity: tuple[int, int], tables: list[list[int]] | None = None, chunk_texts: int = 1024, chunk_bytes: int = 16 << 20) -> DataFrame:
+    """(id, key, first_id, first_key) for every row, stored, by links between texts whose shingle sets have a Jaccard ``similarity`` or more.
+
+    ``key`` is the text's digest; rows of one text are one point.  Components of
+    the grid's links within ``distance`` are the candidates; within each, all
+    pairs are compared by their shingles, and only the pairs that are alike link.
+    A component of more than ``chunk_texts`` or ``chunk_bytes`` is dealt into
+    chunks, and each pair of chunks is compared in a task of its own.  A group's
+    first row is that with the smallest id, null ids last, then the smallest key.
     """
     found = common.stored(sketches(docs, id_col, text_col, words, bits), "sketches")
-    distinct = common.stored(found.groupBy("key").agg(F.min("fp").alias("fp"), F.min("id").alias("least"), F.min(F.struct("row", "size")).alias("first")), "distinct")
-    points = distinct.select("fp").distinct()
-    tables = near_tables(points.count()) if tables is None else tables
-    grid = components(links(points, bits, distance, tables, segment=1))
-    placed = distinct.join(grid, distinct["fp"] == grid["node"], "left").select("key", "first.*", F.coalesce("label", "fp").alias("label"))
-    placed = common.stored(placed, "placed")
-    crowd = placed.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")
+    distinct = common.stored(found.groupBy("key").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), first).select("key", "fp", "size", F.col("first.id").alias("id")), "distinct")
+    points = common.stored(distinct.select("fp").distinct(), "points")
+    edges = links(points, bits, distance, near_tables(points.count()) if tables is None else tables, segment=1)
+    grid = components(edges)
+    placed = common.stored(distinct.join(grid, distinct["fp"] == grid["node"], "left").select("key", "id", "size", F.coalesce("label", "fp").alias("label")), "placed")
+    common.drop(points, edges, grid)
+    crowd = common.stored(placed.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1"), "crowd")
     k = F.greatest(F.ceil(F.col("n") / chunk_texts), F.ceil(F.col("bytes") / chunk_bytes)).cast("int")
-    dealt = placed.join(crowd, "label").select("row", "key", "label", F.pmod(F.xxhash64("key"), k).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), k - 1)).alias("j"))
-    dealt = common.stored(dealt.select("row", "key", "label", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j")), "candidates")
-    labels = components(same(found.select("row", "text").join(dealt, "row"), words, similarity))
-    return _named(found.select("id", "key"), distinct, labels, "key").select(F.col("id").alias(id_col), "component_id")
+    dealt = placed.join(crowd, "label").select(F.col("id").alias("_i"), F.col("key").alias("_k"), "label", F.pmod(F.xxhash64("key"), k).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), k - 1)).alias("j"))
+    dealt = common.stored(dealt.select("_i", "_k", "label", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j")), "candidates")
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("_key", digest(F.col("text")))
+    pairs = common.stored(same(_by_key(texts, dealt, "inner").withColumn("key", F.col("_key")), words, similarity), "pairs")
+    labels = components(pairs)
+    by_key = common.stored(distinct.join(labels, distinct["key"] == labels["node"], "left").select("key", "id", F.coalesce("label", "key").alias("label")), "labelled")
+    least = by_key.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    least = common.stored(least.select("label", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key")), "least")
+    named = common.stored(by_key.join(least, "label").select("key", "first_id", "first_key"), "named")
+    out = common.stored(found.select("id", "key").join(named, "key"), "groups")
+    common.drop(found, distinct, placed, crowd, dealt, pairs, labels, by_key, least, named)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their group; all their columns stay.
+    """The first row of each group of ``docs``, with all its columns: that of the smallest id.
 
-    Of rows that repeat that id one stays.  Rows with a null id can't be named
-    by a group, and one of each text stays.  An empty table stays empty.
+    A null id comes after all others; of rows that repeat an id the one with the
+    smallest digest of its text is first, and of rows that repeat both one stays.
+    An empty table stays empty.
     """
-    groups = common.stored(near(docs, id_col, text_col, **{**NEAR, **more}), "groups")
-    keep = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep"))
+    groups = near(docs, id_col, text_col, **{**NEAR, **more})
+    own = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))
+    gone = common.stored(groups.where(~own).select(F.col("id").alias("_i"), F.col("key").alias("_k")).distinct(), "gone")
+    twice = common.stored(groups.where(own).groupBy(F.col("id").alias("_i"), F.col("key").alias("_k")).count().where("count > 1").drop("count"), "twice")
+    common.drop(groups)
     # rows go into a struct, so their columns may have any names
-    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    named = rows.join(keep.distinct(), F.col("_id") == F.col("_keep"), "left_semi")
-    if not keep.groupBy("_keep").count().where("count > 1").isEmpty():
-        named = named.dropDuplicates(["_id"])
-    if not groups.where(F.col(id_col).isNull()).isEmpty():
-        named = named.unionByName(rows.where("_id is null").dropDuplicates(["_text"]))
-    return named.select("_row.*")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id"), digest(F.col(f"`{text_col}`")).alias("_key"))
+    kept = _by_key(rows, gone, "left_anti")
+    if not twice.isEmpty():
+        kept = _by_key(kept, twice, "left_anti").unionByName(_by_key(kept, twice, "left_semi").dropDuplicates(["_id", "_key"]))
+    return kept.select("_row.*")
