@@ -44,10 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read by the next."""
+    """All stages over ``documents``, each written to the shared folder, read by the next and then deleted; the last one's input stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        last, docs = docs, common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.drop(last)
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
