@@ -8,8 +8,8 @@ source's blocks, and the mix takes a prefix of it: all but the last epoch whole.
 
 The number of blocks so drawn by each source is its quota.  A binary tree over
 the output shards splits the vector of quotas exactly: each node draws its left
-half's part from the multivariate hypergeometric law and gives the rest to the
-right.  A leaf's quotas say how many blocks of each source a shard gets, and the
+half's part from the multivariate hypergeometric law, by numbers hashed from the
+seed, the node and the source, and gives the rest to the right.  A leaf's quotas say how many blocks of each source a shard gets, and the
 running sums over shards which ranks of the permutation they are, so shards draw
 disjoint blocks.  Within a shard blocks are put in an order of their own.
 
@@ -21,9 +21,9 @@ for each source and epoch, and makes (sources x epochs x shards) quotas.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
-import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -36,9 +36,14 @@ BUCKET_BLOCKS = 512
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, size): words of each text, 0 where it is null."""
+    """(row, id, source, digest, size): a number of each row's own, 64 bits of its text's MD5, and the words of the text, 0 where it is null."""
     text = common.text_or_empty(text_col)
-    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("size"))
+    size = F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("size")
+    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), _digest(text).alias("_digest"), size)
+
+
+def _digest(text: Column) -> Column:
+    return F.substring(F.md5(text.cast("binary")), 1, 16)
 
 
 def targets(sized: DataFrame, weights: list[int], budget: tuple[int, int] = (3, 2), repeats: int = 2) -> DataFrame:
@@ -68,18 +73,23 @@ def _hash(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _place(seed: int) -> Column:
+    return _hash(seed, F.col("epoch"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("_digest"), F.col("block"))
+
+
 def draws(sized: DataFrame, goal: DataFrame, block_words: int, repeats: int, seed: int) -> DataFrame:
     """All blocks of all epochs with ``drawn``, and ``rank``, the place among the drawn blocks of their source and epoch (from 0).
 
     A block is drawn where the words before it and half its own stay within what
     its source takes from its epoch, which makes the drawn ones a prefix of the
-    permutation and the words drawn the nearest to the target.
+    permutation and the words drawn the nearest to the target.  Rows of one id
+    and text have equal hashes and stand side by side.
     """
     n_blocks = F.ceil(F.col("size") / block_words).cast("int")
     epochs = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("epoch")
-    rows = sized.where("size > 0").select("_id", "_source", "size", epochs).select("*", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
+    rows = sized.where("size > 0").select("_row", "_id", "_source", "_digest", "size", epochs).select("*", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
     words = F.least(F.lit(block_words), F.col("size") - F.col("block") * block_words).cast("long")
-    rows = rows.select("_id", "_source", "epoch", "block", words.alias("words"), _hash(seed, F.col("epoch"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("block")).alias("_h"))
+    rows = rows.select("_row", "_id", "_source", "_digest", "epoch", "block", words.alias("words"), _place(seed).alias("_h"))
     total = sized.agg(F.sum(F.ceil(F.col("size") / block_words))).first()[0] or 0
     span = (1 << 60) // max(1, total // max(BUCKET_BLOCKS, math.isqrt(total))) + 1
     rows = rows.withColumn("_bucket", F.floor(F.col("_h") / span))
@@ -92,18 +102,18 @@ def draws(sized: DataFrame, goal: DataFrame, block_words: int, repeats: int, see
     key = [F.coalesce("_source", F.lit("")), F.col("_source").isNull()]
     sums = sums.join(goal.select(F.col("_source").alias("_s"), "source_size", "target"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
     sums = sums.withColumn("_take", F.least(F.greatest(F.col("target") - F.col("epoch") * F.col("source_size"), F.lit(0.0)), F.col("source_size").cast("double")))
-    inside = W.partitionBy(*key, "epoch", "_bucket").orderBy("_h", "_id", "block")
+    inside = W.partitionBy(*key, "epoch", "_bucket").orderBy("_h", "_id", "_digest", "block", "_row")
     rows = rows.withColumn("_k", F.row_number().over(inside) - 1).withColumn("_sum", F.sum("words").over(inside.rowsBetween(W.unboundedPreceding, 0)))
     sums = sums.select(key[0].alias("_s0"), key[1].alias("_s1"), F.col("epoch").alias("_e"), F.col("_bucket").alias("_b"), "_n0", "_w0", "_take")
     joined = rows.join(sums, (key[0] == F.col("_s0")) & (key[1] == F.col("_s1")) & (F.col("epoch") == F.col("_e")) & (F.col("_bucket") == F.col("_b")))
     return joined.select(
-        "_id", "_source", "epoch", "block", "words", "_h", (F.col("_n0") + F.col("_k")).alias("rank"),
+        "_row", "_id", "_source", "_digest", "epoch", "block", "words", (F.col("_n0") + F.col("_k")).alias("rank"),
         ((F.col("_w0") + F.col("_sum")) * 2 - F.col("words") <= F.col("_take") * 2).alias("drawn"),
     )
 
 
-def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
-    """How many of ``n`` drawn from good + bad without putting back are good: inverse of the distribution, outward from its mode."""
+def hypergeometric(u: float, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` drawn from good + bad without putting back are good: inverse of the distribution at ``u``, taken upward from its mode and then downward."""
     low, high = max(0, n - bad), min(n, good)
     if low == high:
         return low
@@ -119,7 +129,7 @@ def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
         p *= k * (bad - n + k) / ((good - k + 1) * (n - k + 1))
         k -= 1
         down.append(p)
-    u = rng.random() * (1.0 + sum(up) + sum(down)) - 1.0
+    u = u * (1.0 + math.fsum(up) + math.fsum(down)) - 1.0
     if u < 0:
         return mode
     for side, sign in ((up, 1), (down, -1)):
@@ -130,35 +140,41 @@ def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
     return mode
 
 
-def split(quotas: list[int], n: int, rng: random.Random) -> list[list[int]]:
-    """The quotas' parts for each of ``n`` shards whose sizes differ by one at most, by the splitting tree."""
+def uniform(seed: int, *parts: int) -> float:
+    """A number in [0, 1) from 60 bits of MD5."""
+    return int(hashlib.md5(":".join(map(str, (seed, *parts))).encode(), usedforsecurity=False).hexdigest()[:15], 16) / 2**60
+
+
+def split(quotas: list[int], n: int, seed: int, first: int = 0) -> list[list[int]]:
+    """The quotas' parts for each of ``n`` shards whose sizes differ by one at most, by the splitting tree; the node's number is its first shard's and ``n``."""
     if n == 1:
         return [list(quotas)]
     left_n, total = n // 2, sum(quotas)
     # leaves take total // n each, and the first total % n of them one more
     take = left_n * (total // n) + min(left_n, total % n)
     left, rest, need = [], total, take
-    for q in quotas:
-        x = hypergeometric(rng, q, rest - q, need)
+    for i, q in enumerate(quotas):
+        x = hypergeometric(uniform(seed, first, n, i), q, rest - q, need)
         left.append(x)
         rest, need = rest - q, need - x
-    return split(left, left_n, rng) + split([q - x for q, x in zip(quotas, left, strict=True)], n - left_n, rng)
+    return split(left, left_n, seed, first) + split([q - x for q, x in zip(quotas, left, strict=True)], n - left_n, seed, first + left_n)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), budget: tuple[int, int] = (3, 2), repeats: int = 2, block_words: int = 256, shards: int = 16, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sizes, targets, blocks): the mix's blocks with the shard that each goes to and its place there.
 
-    ``blocks`` has _id, _source, epoch, block, words, shard and order.  Null
-    sources are a source of their own; documents without words have no block.
-    The same table and seed give the same mix however the rows are dealt.  Rows
-    that repeat an id and a block share a hash and stand side by side.
+    ``blocks`` has _row, _id, _source, _digest, epoch, block, words, shard and
+    order; ``_row`` is the row's number in ``sizes``.  Null sources are a source
+    of their own; documents without words have no block.  The same table and seed
+    give the same mix however the rows are dealt; which of some rows that repeat
+    an id, a source and a text is drawn is left open.
     """
     spark = docs.sparkSession
     sized = common.stored(sizes(docs, id_col, text_col, source_col), "sizes")
     goal = common.stored(targets(sized, list(weights), budget, repeats), "targets")
     drawn = common.stored(draws(sized, goal, block_words, repeats, seed).where("drawn").drop("drawn"), "draws")
     quotas = drawn.groupBy("_source", "epoch").agg(F.count("*").alias("n")).orderBy(F.col("_source").asc_nulls_last(), "epoch").collect()
-    parts = split([r["n"] for r in quotas], shards, random.Random(seed)) if quotas else []
+    parts = split([r["n"] for r in quotas], shards, seed) if quotas else []
     rows, cut = [], [0] * len(quotas)
     for part in parts:
         cut = [a + b for a, b in zip(cut, part, strict=True)]
@@ -170,27 +186,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # a block's shard: how many shards' ranges end at its rank or before; (sources x epochs) rows of (shards) numbers are joined
     shard = F.size(F.filter("ends", lambda e: e <= F.col("rank")))
     placed = drawn.join(cuts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("epoch") == F.col("_e"))).drop("_s", "_e")
-    blocks = placed.select("_id", "_source", "epoch", "block", "words", shard.alias("shard"), _hash(seed + 1, F.col("epoch"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("block")).alias("order"))
+    blocks = placed.select("_row", "_id", "_source", "_digest", "epoch", "block", "words", shard.alias("shard"), _place(seed + 1).alias("order"))
     return sized, goal, blocks
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **more) -> DataFrame:
-    """Per document: size, source_size, target, taken, and ``blocks`` taken and ``shards`` they are in.
+    """Per row: size, source_size, target, taken, ``blocks`` taken, ``shards`` they are in and ``dealt``, those shards and how many blocks each holds.
 
-    Rows that repeat an id and a source are one document whose size is their
-    first's and whose taken words are all theirs.
+    Rows that repeat an id are rows of their own, each with its size and its
+    taken words.
     """
     sized, goal, blocks = mix(docs, id_col, source_col=source_col, **more)
-    key = F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_key")
-    owner = [key, F.coalesce("_source", F.lit("")).alias("_s0"), F.col("_source").isNull().alias("_s1")]
-    # what each shard holds of a document, and from that all it gives: the figures are of the blocks as dealt, even where ``shards`` is dropped
-    held = blocks.groupBy(*owner, "shard").agg(F.sum("words").alias("words"), F.count("*").alias("n"))
-    taken = held.groupBy("_key", "_s0", "_s1").agg(F.sum("words").alias("taken"), F.sum("n").alias("blocks"), F.count("*").alias("shards"))
-    zero = F.lit(0).cast("long")
-    left = sized.withColumn("_key", key).withColumn("_s0", F.coalesce("_source", F.lit(""))).withColumn("_s1", F.col("_source").isNull())
-    goal = goal.select(F.coalesce("_source", F.lit("")).alias("_s0"), F.col("_source").isNull().alias("_s1"), "source_size", "target")
-    return left.join(taken, ["_key", "_s0", "_s1"], "left").join(goal, ["_s0", "_s1"], "left").select(
-        F.col("_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), F.coalesce("blocks", zero).alias("blocks"), F.coalesce("shards", zero).alias("shards")
+    held = blocks.groupBy("_row", "shard").agg(F.sum("words").alias("words"), F.count("*").alias("n"))  # a row has as many groups as there are shards at most
+    each = F.array_sort(F.collect_list(F.struct("shard", "n")))
+    taken = held.groupBy("_row").agg(F.sum("words").alias("taken"), F.sum("n").alias("blocks"), F.count("*").alias("shards"), each.alias("_each"))
+    taken = taken.withColumn("dealt", F.array_join(F.transform("_each", lambda x: F.concat_ws(":", x["shard"], x["n"])), ","))
+    zero, null = F.lit(0).cast("long"), [F.coalesce("_source", F.lit("")).alias("_s0"), F.col("_source").isNull().alias("_s1")]
+    return sized.select("*", *null).join(taken, "_row", "left").join(goal.select(*null, "source_size", "target"), ["_s0", "_s1"], "left").select(
+        F.col("_id").alias(id_col), "size", "source_size", "target", *[F.coalesce(c, zero).alias(c) for c in ("taken", "blocks", "shards")], F.coalesce("dealt", F.lit("")).alias("dealt")
     )
 
 
@@ -198,16 +211,24 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """The mix itself: each row of ``docs`` as often as a block of it was drawn, all columns as they are, by shard and by the order within it.
 
     With blocks as large as any document, documents are drawn whole.  Documents
-    without words have nothing to draw and are left out; rows that repeat an id
-    and a source are drawn as often, in sum, as theirs were.
+    without words have nothing to draw and are left out.  Of rows that repeat an
+    id, a source and a text, as many are taken in each epoch as were drawn.
     """
-    _, _, blocks = mix(docs, id_col, text_col, source_col, block_words=block_words, **more)
-    key, source = F.coalesce(F.col("_id").cast("string"), F.lit("")), F.coalesce(F.col("_source"), F.lit(""))
-    times = blocks.groupBy(key.alias("_key"), source.alias("_s0"), F.col("_source").isNull().alias("_s1"), "epoch").agg(F.min(F.struct("shard", "order")).alias("_at"))
+    sized, goal, blocks = mix(docs, id_col, text_col, source_col, block_words=block_words, **more)
+    name = [F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_key"), F.coalesce(F.col("_source"), F.lit("")).alias("_s0"), F.col("_source").isNull().alias("_s1"), F.col("_digest")]
+    names = ["_key", "_s0", "_s1", "_digest"]
+    times = blocks.groupBy("_row", "epoch", *name).agg(F.min(F.struct("shard", "order")).alias("_at")).groupBy("epoch", *names).agg(F.min("_at").alias("_at"), F.count("*").alias("_n"))
     # rows go into a struct, so their columns may have any names
     own = docs.select(
         F.struct("*").alias("_row"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("_key"),
-        F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("_s0"), F.col(f"`{source_col}`").isNull().alias("_s1"),
+        F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("_s0"), F.col(f"`{source_col}`").isNull().alias("_s1"), _digest(common.text_or_empty(f"`{text_col}`")).alias("_digest"),
     )
+    same = common.stored(sized.where("size > 0").groupBy(*name).count().where("count > 1").drop("count"), "repeats")
+    if same.isEmpty():
+        own = own.withColumn("_copy", F.lit(1))
+    else:
+        copies = own.join(same, names, "left_semi").withColumn("_copy", F.row_number().over(W.partitionBy(*names).orderBy(F.lit(0))))
+        own = own.join(same, names, "left_anti").withColumn("_copy", F.lit(1)).unionByName(copies)
+    common.drop(sized, goal)
     # a range sort: files in the order of their names hold shard after shard, each in its own order
-    return own.join(times, ["_key", "_s0", "_s1"]).orderBy("_at.shard", "_at.order", "_key", "epoch").select("_row.*")
+    return own.join(times, names).where("_copy <= _n").orderBy("_at.shard", "_at.order", "_key", "epoch").select("_row.*")

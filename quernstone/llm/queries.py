@@ -11,6 +11,8 @@ from . import ctw, decontaminate, mixing, mtree, placement, quality, secrets, si
 
 #: Output shards and slots of the sharding query and of the pipeline.
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(32)], 4099
+#: Output shards of the mixing query.
+MIX_SHARDS = 16
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,7 +24,7 @@ def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(_read(spark, sf_dir, "documents")).drop("shards")  # which shards comes of random splits, beyond SQL
+    return mixing.report(_read(spark, sf_dir, "documents"), shards=MIX_SHARDS)
 
 
 def op3_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _OP2 = """
-WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH RECURSIVE sized AS (SELECT doc_id, source, substr(md5(coalesce(text, '')), 1, 16) AS digest, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 by_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, ([5, 2, 1])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS w, source_size * 2 AS cap FROM by_source),
 leveled AS (SELECT *, row_number() OVER o AS k,
@@ -72,11 +74,31 @@ leveled AS (SELECT *, row_number() OVER o AS k,
 opened AS (SELECT *, (SELECT min(k) FROM leveled WHERE level * w < cap) AS open_k FROM leveled),
 goals AS (SELECT source, source_size, CASE WHEN k >= open_k THEN (SELECT level FROM opened WHERE k = open_k) * w ELSE cap::DOUBLE END AS target FROM opened),
 blocks AS (SELECT doc_id, source, e.epoch, b.block, least(256, size - b.block * 256) AS words,
-    ('0x' || substr(md5('7:' || e.epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || b.block), 1, 15))::BIGINT AS h
+    ('0x' || substr(md5('7:' || e.epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest || ':' || b.block), 1, 15))::BIGINT AS h
   FROM sized, (SELECT unnest([0, 1]) AS epoch) e, LATERAL (SELECT unnest(range(CAST(ceil(size / 256.0) AS BIGINT))) AS block) b WHERE size > 0),
 summed AS (SELECT *, sum(words) OVER (PARTITION BY source, epoch ORDER BY h, doc_id, block ROWS UNBOUNDED PRECEDING) AS total FROM blocks),
-taken AS (SELECT s.doc_id, sum(s.words) AS taken, count(*) AS blocks FROM summed s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
-  WHERE s.total * 2 - s.words <= 2 * least(greatest(g.target - s.epoch * g.source_size, 0), g.source_size) GROUP BY s.doc_id)
+drawn AS (SELECT s.*, row_number() OVER (PARTITION BY s.source, epoch ORDER BY h, doc_id, block) - 1 AS place FROM summed s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+  WHERE s.total * 2 - s.words <= 2 * least(greatest(g.target - s.epoch * g.source_size, 0), g.source_size)),
+quotas AS (SELECT source, epoch, row_number() OVER (ORDER BY source NULLS LAST, epoch) AS i, n FROM (SELECT source, epoch, count(*) AS n FROM drawn GROUP BY source, epoch)),
+root AS (SELECT list(n ORDER BY i) AS q FROM quotas HAVING count(*) > 0),
+walk AS (  -- a row for each node (its first shard and how many it has) and source that comes next
+  SELECT 0 AS lo, SHARDS AS n, q, 0 AS i, []::BIGINT[] AS l, list_sum(q)::BIGINT AS rest, (SHARDS // 2) * (list_sum(q)::BIGINT // SHARDS) + least(SHARDS // 2, list_sum(q)::BIGINT % SHARDS) AS need FROM root
+  UNION ALL (
+  SELECT lo, n, q, i, l, rest, (n // 2) * (rest // n) + least(n // 2, rest % n) FROM (
+    SELECT lo + side * (n // 2) AS lo, CASE side WHEN 0 THEN n // 2 ELSE n - n // 2 END AS n, kept AS q, 0 AS i, []::BIGINT[] AS l, coalesce(list_sum(kept), 0)::BIGINT AS rest
+    FROM (SELECT *, CASE side WHEN 0 THEN l ELSE list_transform(range(1, len(q) + 1), lambda k: q[k] - l[k]) END AS kept FROM walk, (SELECT unnest([0, 1]) AS side) WHERE n > 1 AND i = len(q)))
+  UNION ALL
+  SELECT lo, n, q, i + 1, list_append(l, x), rest - good, need - x FROM (
+    SELECT *, CASE WHEN low = high THEN low ELSE list_reduce(list_transform(weighed, lambda y: {'k': y.k, 's': y.w}), lambda a, b: CASE WHEN a.s > u * list_sum(list_transform(weighed, lambda y: y.w)) THEN a ELSE {'k': b.k, 's': a.s + b.s} END).k END AS x FROM (
+    SELECT *, list_transform(list_concat(range(mode, high + 1), list_reverse(range(low, mode))), lambda k: {'k': k, 'w': exp(
+      lgamma(mode + 1) + lgamma(good - mode + 1) + lgamma(need - mode + 1) + lgamma(bad - need + mode + 1) - lgamma(k + 1) - lgamma(good - k + 1) - lgamma(need - k + 1) - lgamma(bad - need + k + 1))}) AS weighed FROM (
+    SELECT *, least(greatest((need + 1) * (good + 1) // (good + bad + 2), low), high) AS mode FROM (
+    SELECT *, greatest(0, need - bad) AS low, least(need, good) AS high, ('0x' || substr(md5('7:' || lo || ':' || n || ':' || i), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u FROM (
+    SELECT *, q[i + 1] AS good, rest - q[i + 1] AS bad FROM walk WHERE n > 1 AND i < len(q)))))))),
+ends AS (SELECT i, list(upto ORDER BY lo) AS ends FROM (SELECT i, lo, sum(part) OVER (PARTITION BY i ORDER BY lo) AS upto FROM (SELECT lo, unnest(range(1, len(q) + 1)) AS i, unnest(q) AS part FROM walk WHERE n = 1)) GROUP BY i),
+held AS (SELECT doc_id, shard, sum(words) AS words, count(*) AS n FROM (
+  SELECT d.*, len(list_filter(ends, lambda e: e <= place)) AS shard FROM drawn d JOIN quotas k ON d.source IS NOT DISTINCT FROM k.source AND d.epoch = k.epoch JOIN ends e ON e.i = k.i) GROUP BY doc_id, shard),
+taken AS (SELECT doc_id, sum(words) AS taken, sum(n) AS blocks, count(*) AS shards, string_agg(shard || ':' || n, ',' ORDER BY shard) AS dealt FROM held GROUP BY doc_id)
 """
 
 
@@ -124,7 +146,7 @@ SELECT doc_id, n_bytes, slot, shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 2,
 
 def sql() -> dict[str, str]:
     return {
-        "op2_mixing": _OP2 + "SELECT doc_id, size, s.source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, coalesce(blocks, 0) AS blocks FROM sized z JOIN goals s ON z.source IS NOT DISTINCT FROM s.source LEFT JOIN taken USING (doc_id)",
+        "op2_mixing": _OP2.replace("SHARDS", str(MIX_SHARDS)) + "SELECT doc_id, size, s.source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(coalesce(blocks, 0) AS BIGINT) AS blocks, coalesce(shards, 0) AS shards, coalesce(dealt, '') AS dealt FROM sized z JOIN goals s ON z.source IS NOT DISTINCT FROM s.source LEFT JOIN taken USING (doc_id)",
         "op8_secrets": _op8(),
         "op9_decontamination": _OP9,
         "op10_sharding": _op10(),

@@ -101,4 +101,4 @@ def test_null_texts_are_defined(odd, items):
 def test_a_null_source_is_a_source(odd):
     got = mixing.report(odd).where("doc_id = 1 or doc_id = 5").select("doc_id", "source_size").collect()
     assert len({r["source_size"] for r in got}) == 1
-    assert mixing.report(odd).agg(F.max(F.col("taken") - 2 * F.col("size")).alias("x")).where("x > 0").count() == 0 or odd.groupBy("doc_id", "source").count().where("count > 1").count() > 0
+    assert mixing.report(odd).agg(F.max(F.col("taken") - 2 * F.col("size")).alias("x")).where("x > 0").count() == 0

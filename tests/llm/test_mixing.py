@@ -21,18 +21,18 @@ def docs(spark):
 def test_the_hypergeometric_law_is_met():
     rng = random.Random(1)
     good, bad, n, draws = 12, 20, 9, 20_000
-    got = [mixing.hypergeometric(rng, good, bad, n) for _ in range(draws)]
+    got = [mixing.hypergeometric(rng.random(), good, bad, n) for _ in range(draws)]
     for k in range(10):
         p = math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n)
         assert abs(got.count(k) / draws - p) < 4 * math.sqrt(p * (1 - p) / draws) + 1e-4
-    assert mixing.hypergeometric(rng, 5, 0, 3) == 3 and mixing.hypergeometric(rng, 0, 5, 3) == 0
-    big = [mixing.hypergeometric(rng, 10**9, 2 * 10**9, 10**6) for _ in range(50)]
+    assert mixing.hypergeometric(0.5, 5, 0, 3) == 3 and mixing.hypergeometric(0.5, 0, 5, 3) == 0
+    big = [mixing.hypergeometric(rng.random(), 10**9, 2 * 10**9, 10**6) for _ in range(50)]
     assert abs(sum(big) / 50 - 10**6 / 3) < 300
 
 
 def test_the_tree_splits_quotas_exactly():
     for n in (1, 2, 7, 16):
-        parts = mixing.split([100, 0, 37, 1], n, random.Random(2))
+        parts = mixing.split([100, 0, 37, 1], n, 2)
         assert [sum(p[i] for p in parts) for i in range(4)] == [100, 0, 37, 1]
         sizes = [sum(p) for p in parts]
         assert max(sizes) - min(sizes) <= 1 and min(map(min, parts)) >= 0
@@ -83,3 +83,18 @@ def test_whole_documents_come_near_the_targets(docs):
 def test_main_path_has_no_python(docs):
     plan = mixing.report(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_rows_that_repeat_an_id_are_rows_of_their_own(spark):
+    rows = [(1, "w " * 300, "x"), (1, "w " * 300, "x"), (1, "v " * 500, "x"), (None, "u " * 700, "x"), (None, "t " * 700, "x"), (2, "s " * 90, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.report(df).collect()
+    assert sorted(r["size"] for r in got) == [90, 300, 300, 500, 700, 700] and all(r["taken"] <= 2 * r["size"] for r in got)
+    for source, target in {("x", r["target"]) for r in got if r["size"] != 90}:
+        assert abs(sum(r["taken"] for r in got if r["size"] != 90) - target) <= 256
+    by_hand = mixing.mix(df)[2].groupBy("_row").agg(F.sum("words").alias("n")).collect()
+    assert sorted(r["n"] for r in by_hand) == sorted(r["taken"] for r in got if r["taken"])
+    whole = mixing.repeated(df).groupBy("text").count().collect()
+    assert all(r["count"] <= 2 * sum(t == r["text"] for _, t, _ in rows) for r in whole)
+    drawn = mixing.mix(df, block_words=1 << 30)[2].count()
+    assert sum(r["count"] for r in whole) == drawn

@@ -20,7 +20,9 @@ def docs(spark):
 
 def by_hand(docs, block_words, shards=16):
     """(id, epoch, block) to (shard, order): quotas as the drawn blocks count them, ranks by the permutation's hash."""
-    number = lambda seed, e, i, b: int(hashlib.md5(f"{seed}:{e}:{i}:{b}".encode()).hexdigest()[:15], 16)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    texts = {r["doc_id"]: md5(r["text"])[:16] for r in docs.collect()}
+    number = lambda seed, e, i, b: int(md5(f"{seed}:{e}:{i}:{texts[i]}:{b}")[:15], 16)
     goal = {r["_source"]: (r["source_size"], r["target"]) for r in mixing.mix(docs, block_words=block_words)[1].collect()}
     blocks = defaultdict(list)
     for r in docs.collect():
@@ -36,7 +38,7 @@ def by_hand(docs, block_words, shards=16):
             if 2 * total - x[-1] <= 2 * min(max(target - e * size, 0), size):
                 drawn[source, e].append(x)
     keys = sorted((k for k in drawn if drawn[k]), key=lambda k: (k[0] is None, k[0] or "", k[1]))
-    parts, out, at = mixing.split([len(drawn[k]) for k in keys], shards, random.Random(7)), {}, [0] * len(keys)
+    parts, out, at = mixing.split([len(drawn[k]) for k in keys], shards, 7), {}, [0] * len(keys)
     for shard, part in enumerate(parts):
         for i, (k, n) in enumerate(zip(keys, part, strict=True)):
             for _, doc, e, b, _ in drawn[k][at[i] : at[i] + n]:
@@ -48,10 +50,11 @@ def by_hand(docs, block_words, shards=16):
 def test_each_shard_holds_what_the_split_gives_it(docs):
     wanted = by_hand(docs, 256)
     assert {(r["_id"], r["epoch"], r["block"]): (r["shard"], r["order"]) for r in mixing.mix(docs)[2].collect()} == wanted
-    shards = defaultdict(set)
+    shards = defaultdict(lambda: defaultdict(int))
     for (doc, _, _), (shard, _) in wanted.items():
-        shards[doc].add(shard)
-    assert {r["doc_id"]: r["shards"] for r in mixing.report(docs).collect() if r["shards"]} == {d: len(s) for d, s in shards.items()}
+        shards[doc][shard] += 1
+    got = {r["doc_id"]: (r["shards"], r["dealt"]) for r in mixing.report(docs).collect() if r["shards"]}
+    assert got == {d: (len(s), ",".join(f"{k}:{n}" for k, n in sorted(s.items()))) for d, s in shards.items()}
 
 
 def test_the_mix_stands_by_shard_and_in_the_shard_s_order(docs, tmp_path):
@@ -60,5 +63,12 @@ def test_the_mix_stands_by_shard_and_in_the_shard_s_order(docs, tmp_path):
     assert [r["doc_id"] for r in mixing.repeated(docs).collect()] == order
 
 
-def test_the_split_takes_part_where_the_shards_are_dropped(docs):
-    assert "ends" in mixing.report(docs).drop("shards")._jdf.queryExecution().optimizedPlan().toString()
+def test_without_the_splitting_tree_the_result_is_another(docs, monkeypatch):
+    report = lambda: sorted((r["doc_id"], r["dealt"]) for r in mixing.report(docs).collect())
+    with_tree = report()
+    monkeypatch.setattr(mixing, "split", lambda quotas, n, seed: [quotas] + [[0] * len(quotas)] * (n - 1))
+    assert report() != with_tree
+
+
+def test_the_query_s_plan_holds_the_shards(docs):
+    assert "shard" in mixing.report(docs)._jdf.queryExecution().optimizedPlan().toString()
