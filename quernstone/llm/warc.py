@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import string
 import struct
 import uuid
 from collections.abc import Iterator
 from io import BytesIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -48,26 +50,36 @@ def _line(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None, date: str = "2024-01-01T00:00:00Z") -> bytes:
+def _kept(value: str) -> str:
+    """A header's value in which spaces at either end and percent signs survive."""
+    return quote(value, safe=string.punctuation.replace("%", ""), errors="surrogatepass")
+
+
+def record(page_id: str | None, url: str, payload: bytes, digest: str, refers_to: str | None, date: str = "2024-01-01T00:00:00Z", at: str = "") -> bytes:
     """One record with its closing blank lines.
 
-    A revisit's block holds the HTTP headers alone, among them the length of the
+    A response is named by its page and payload, a revisit also by ``at``, its
+    place; a null page has no header of its own.  A revisit's block holds the HTTP headers alone, among them the length of the
     payload that the record it refers to has in full.
     """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}")
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}" + (f":{at}" if refers_to is not None else ""))
     headers = [
         ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", date),
-        ("WARC-Target-URI", _line(url)), ("WARC-Page-ID", _line(page_id)), ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("WARC-Target-URI", _line(url)), *([("WARC-Page-ID", _kept(page_id))] if page_id is not None else []), ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{payload_digest(block)}"), ("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block))),
     ]
     if refers_to is not None:
-        target = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{refers_to}")
-        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:uuid:{target}>"), ("WARC-Refers-To-Page-ID", _line(refers_to))]
+        target = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{refers_to}:{digest}")
+        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:uuid:{target}>"), ("WARC-Refers-To-Page-ID", _kept(refers_to))]
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in headers), "\r\n"]).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
 
+def _given(value: str | None) -> str | None:
+    return None if value is None else unquote(value, errors="surrogatepass")
+
+
 def parse(raw: bytes) -> dict:
     """A record's headers and payload, validated."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
@@ -168,7 +180,7 @@ def read_archive(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 
 def first_of_payload(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
-    """(id, digest, refers_to): for every row, the smallest id with an equal payload, where that is another one.
+    """(id, sha, refers_to): for every row, the smallest id with an equal payload, where that is another one.
 
     Copies are counted before anything is joined, and only payloads that have
     copies are joined back, on rows of an id and a digest; a payload that a
@@ -177,7 +189,7 @@ def first_of_payload(pages: DataFrame, id_col: str, payload_col: str, min_bytes:
     slim = pages.select(F.col(id_col).alias("_id"), F.sha1(common.text_or_empty(payload_col).cast("binary")).alias("_sha"), F.octet_length(common.text_or_empty(payload_col)).alias("_bytes"))
     slim = slim.where(F.col("_bytes") >= min_bytes)
     firsts = slim.groupBy("_sha").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return slim.join(firsts, "_sha").where("_id > _first").select("_id", F.col("_first").alias("refers_to")).distinct()
+    return slim.join(firsts, "_sha").where("_id > _first").select("_id", "_sha", F.col("_first").alias("refers_to")).distinct()
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, sample: int = 128) -> DataFrame:
@@ -186,12 +198,14 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     The dictionary of an archive is trained on its first ``sample`` records.  An
     archive is written under a name of its own attempt and then renamed, so a
     task that runs twice leaves one whole archive.  Null payloads and urls are
-    empty; rows that repeat an id get a record each, those after the first
-    payload's smallest id being revisits.  An empty table gives no archive.
+    empty; rows that repeat an id get a record each, which revisits another only
+    for its own payload.  Rows with a null id are never revisited unless no other
+    has their payload, and never revisit.  An empty table gives no archive.
     """
     revisits = first_of_payload(pages, id_col, payload_col, min_bytes)
-    todo = pages.select(F.col(id_col).alias("_id"), common.text_or_empty(url_col).alias("url"), common.text_or_empty(payload_col).alias("payload")).join(revisits, "_id", "left").select(
-        F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("page"), "url", F.col("payload").cast("binary").alias("payload"), F.col("refers_to").cast("string").alias("refers_to")
+    todo = pages.select(F.col(id_col).alias("_id"), common.text_or_empty(url_col).alias("url"), common.text_or_empty(payload_col).alias("payload"))
+    todo = todo.withColumn("_sha", F.sha1(F.col("payload").cast("binary"))).join(revisits, ["_id", "_sha"], "left").select(
+        F.col("_id").cast("string").alias("page"), "url", F.col("payload").cast("binary").alias("payload"), F.col("refers_to").cast("string").alias("refers_to")
     )
 
     def archive(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +230,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         for b in it:
             for k in range(0, b.num_rows, 256):
                 page, url, payload, refers = (c.to_pylist() for c in b.slice(k, 256).columns)
-                made = [record(p, u, x, payload_digest(x), r) for p, u, x, r in zip(page, url, payload, refers, strict=True)]
+                made = [record(p, u, x, payload_digest(x), r, at=f"{TaskContext.get().partitionId()}:{count + i}") for i, (p, u, x, r) in enumerate(zip(page, url, payload, refers, strict=True))]
                 count += len(made)
                 if out is None:
                     held += made
@@ -259,9 +273,9 @@ def read(spark: SparkSession, archives: DataFrame, with_payload: bool = True) ->
                         h = r["headers"]
                         is_response = h["warc-type"] == "response"
                         rows.append((
-                            h.get("warc-page-id"), h.get("warc-target-uri"), h["warc-type"], h["warc-record-id"], r["payload_bytes"],
+                            _given(h.get("warc-page-id")), h.get("warc-target-uri"), h["warc-type"], h["warc-record-id"], r["payload_bytes"],
                             payload_digest(r["payload"]) if is_response else h.get("warc-payload-digest", "").removeprefix("sha1:"),
-                            h.get("warc-refers-to-page-id"), r["payload"] if with_payload else None,
+                            _given(h.get("warc-refers-to-page-id")), r["payload"] if with_payload else None,
                         ))
                         held += len(raw)
                         if len(rows) >= 1000 or held >= 8 << 20:
@@ -284,7 +298,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", **more) -> DataFrame:
     kind = pages.schema[id_col].dataType
     back = read(spark, write(pages, common.scratch(spark, "warc"), id_col, **more), with_payload=False)
     return back.select(
-        F.when(F.col("page") != "", F.col("page")).cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+        F.col("page").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
     )
 
 

@@ -86,6 +86,16 @@ def test_odd_pages(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_pages_that_repeat_an_id(spark):
+    rows = [(1, "AAA"), (2, "BBB"), (7, "AAA"), (7, "CCC"), (8, "AAA"), (8, "BBB")]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u")).repartition(3)
+    got = sorted((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect())
+    first = {"AAA": 1, "BBB": 2, "CCC": 7}
+    assert got == sorted((i, warc.payload_digest(t.encode()), "response" if i == first[t] else "revisit", None if i == first[t] else first[t]) for i, t in rows)
+    text_ids = spark.createDataFrame([("", "x", "u"), (None, "y", "u"), (" ", "x", "u")], "page_id string, html string, url string")
+    assert {(r["page_id"], r["record_type"]) for r in warc.round_trip(text_ids).collect()} == {("", "response"), (None, "response"), (" ", "revisit")}
+
+
 def test_null_texts_are_defined(odd, items):
     got = {r["doc_id"]: r for r in surrogates.surrogate(odd.where("doc_id < 4")).collect()}
     assert got[1]["text"] is None and got[2]["text"] == "" and not any(r["n_entities"] for r in got.values())
