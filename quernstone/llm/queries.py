@@ -104,10 +104,13 @@ taken AS (SELECT doc_id, sum(words) AS taken, sum(n) AS blocks, count(*) AS shar
 
 def _op8() -> str:
     """Places as sums of the lengths of the pieces between matches and of the matches before."""
+    share = "(length(v) - length(replace(v, c, ''))) / length(v)::DOUBLE"
+    entropy = f"-list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: {share} * log2({share})))"
+    random = f"regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{secrets.MARKER}') AND {entropy} >= {secrets.RANDOM_BITS}"
     parts, quote = [], lambda x: "'" + x.replace("'", "''") + "'"
     for rank, (kind, pattern, group, least) in enumerate(secrets.KINDS):
         p = quote(pattern)
-        parts.append(f"""SELECT row, owner, repo, {rank} AS rank, '{kind}' AS kind, start, start + length(m) AS stop, sha256(v) AS secret FROM (
+        parts.append(f"""SELECT row, owner, repo, {rank} AS rank, '{kind}' AS kind, start, start + length(m) AS stop, sha256(v) AS secret, {random} AS random FROM (
   SELECT row, owner, repo, m[i] AS m, v[i] AS v, CAST(list_sum(list_transform(list_slice(pieces, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0) AS BIGINT) AS start
   FROM (SELECT row, owner, repo, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS v, regexp_split_to_array(t, {p}) AS pieces FROM d WHERE regexp_matches(t, {p})), LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i))
 WHERE length(v) >= {least}""")
@@ -116,11 +119,11 @@ WHERE length(v) >= {least}""")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
 f AS ({" UNION ALL ".join(parts)}),
-k AS (SELECT secret, count(DISTINCT owner) AS owners FROM f GROUP BY secret),
+k AS (SELECT *, owners >= 3 OR repos >= 4 AS example FROM (SELECT secret, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM f GROUP BY secret)),
 g AS (SELECT row, {n}, {listed(f"rank < {len(secrets.BASE)}")} AS base, {listed("true")} AS spans,
-  count(*) FILTER (WHERE owners < 3) AS n_live, count(*) FILTER (WHERE owners >= 3) AS n_example, max(owners) AS most_owners FROM f JOIN k USING (secret) GROUP BY row)
+  count(*) FILTER (WHERE NOT example AND random) AS n_live, count(*) FILTER (WHERE example) AS n_example, count(*) FILTER (WHERE NOT example AND NOT random) AS n_weak, max(owners) AS most_owners, max(repos) AS most_repos FROM f JOIN k USING (secret) GROUP BY row)
 SELECT doc_id, {", ".join(f"coalesce(n_{k[0]}, 0) AS n_{k[0]}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most_owners, 0) AS most_owners FROM d LEFT JOIN g USING (row)"""
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_weak, 0) AS n_weak, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos FROM d LEFT JOIN g USING (row)"""
 
 
 _OP9 = r"""
