@@ -4,19 +4,23 @@ Vectors become points of a metric space in which the nearest are those of
 highest inner product: with M the largest norm, x gains the coordinate
 sqrt(M^2 - |x|^2) and a query gains 0, so d(q, x)^2 = |q|^2 + M^2 - 2 q.x.
 
-The tree has three levels.  The top has at most ``roots`` routing objects, taken
-from a bounded sample; every vector goes below its nearest one.  Below are pages
-of about ``page_rows`` vectors with a routing object, a covering radius, and the
-distance to their parent; a routing object with more vectors than that has
-several pages, so no page grows with the data.  A page's entries keep their
-distance to its routing object and stand in that order.
-
-A search takes its queries in blocks of ``query_rows``, one broadcast at a time,
-over all pages.  A task visits pages best first by their bound.  Three bounds
-avoid computations, all by the triangle inequality on stored distances: a page
-is dropped by its parent distance before its routing object is looked at, by its
-radius after that, and entries outside a ring around the routing object are
-skipped.  Queries start from the k-th best score over the sample.
+The tree grows from the top.  A node of more than ``page_rows`` vectors promotes
+up to ``fan`` routing objects, far apart in a bounded sample of its own vectors,
+and each vector goes below the nearest; so on for each child, all nodes of a
+level at once, until every node fits a page.  A node keeps its routing object,
+its covering radius and the distance to its parent's routing object.  Where all
+of a node's sample is one vector, its children would be the node again, and it
+becomes several pages.  A page's entries keep their distance to the routing
+object and stand in that order.  A page carries the chain of its ancestors, so no
+task needs the whole tree; nothing of the tree is sent from the driver.
+
+A search takes its queries in blocks of ``query_rows``: each is one broadcast and
+one pass over the pages, whose candidates are written before the next begins.  A
+task visits pages best first by their bound.  Three bounds avoid computations,
+all by the triangle inequality on stored distances: a node is dropped by its
+parent distance before its routing object is looked at, by its radius after that,
+and blocks of a page's entries outside a query's ring are skipped.  Queries start
+from the k-th best score over a sample.
 """
 
 from __future__ import annotations
@@ -73,43 +77,104 @@ def spread(points: np.ndarray, n: int) -> np.ndarray:
     return np.array(chosen)
 
 
-_PAGE = "root int, n int, parent double, radius double, routing binary, ids binary, entries binary, vecs binary"
+_CHAIN = "array<struct<node:string,parent:double,radius:double,routing:binary>>"
+_PAGE = "cell string, n int, ids binary, entries binary, vecs binary"
 
 
-def build(vectors: DataFrame, dim: int, square: float, sample: np.ndarray, roots: int, page_rows: int) -> tuple[DataFrame, np.ndarray]:
-    """The tree's pages, stored, and its top-level routing objects."""
-    spark = vectors.sparkSession
-    points = lift(sample, square)
-    top = points[spread(points, roots)]
-    sent = spark.sparkContext.broadcast(top)
+def _pivots(rest: DataFrame, nodes: DataFrame, dim: int, square: float, fan: int, sample_rows: int) -> DataFrame:
+    """(cell, parent_cell, parent, routing, flat): the children that each node of ``rest`` promotes, from a sample of its vectors."""
+    share = F.lit(float(max(64, sample_rows))) / F.col("n") * (1 << 30)
+    drawn = rest.join(nodes.select("cell", "n", F.get("chain", F.size("chain") - 1)["routing"].alias("routing")), "cell").where(F.pmod(F.xxhash64("vec_id", "row"), F.lit(1 << 30)) < share)
+
+    def promote(table: pa.Table) -> pa.Table:
+        cell, points = table.column("cell")[0].as_py(), lift(_matrix(table.column("vec"), dim), square)
+        chosen = points[spread(points, fan)]
+        above = table.column("routing")[0].as_py()
+        far = [0.0] * len(chosen) if above is None else distances(chosen, np.frombuffer(above)[None])[:, 0].tolist()
+        return pa.table({
+            "cell": [f"{cell}.{i}" for i in range(len(chosen))], "parent_cell": [cell] * len(chosen), "parent": far,
+            "routing": [x.tobytes() for x in chosen], "flat": [len(chosen) == 1] * len(chosen),
+        })
+
+    return drawn.select("cell", "routing", "vec").groupBy("cell").applyInArrow(promote, "cell string, parent_cell string, parent double, routing binary, flat boolean")
+
+
+def _descend(rest: DataFrame, pivots: DataFrame, dim: int, square: float, parts: int) -> DataFrame:
+    """Each row of ``rest`` below its nearest child, with its distance.
+
+    A node's children come before its vectors in every part that holds some of
+    them, so vectors stream past and a large node is shared by ``parts`` tasks.
+    """
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    none = F.lit(None)
+    first = pivots.select(F.col("parent_cell").alias("at"), part, F.lit(0).alias("kind"), "cell", "routing", none.cast("long").alias("vec_id"), none.cast("long").alias("row"), none.cast("array<long>").alias("vec"))
+    then = rest.select(F.col("cell").alias("at"), F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), none.cast("string").alias("cell"), none.cast("binary").alias("routing"), "vec_id", "row", "vec")
+    rows = first.unionByName(then).repartition("at", "part").sortWithinPartitions("at", "part", "kind")
 
     def below(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cells, routing = None, [], []
         for b in it:
-            for k in range(0, b.num_rows, 4000):
-                s = b.slice(k, 4000)
-                d = distances(lift(_matrix(s.column(1), dim), square), sent.value)
-                root = d.argmin(axis=1)
-                yield pa.record_batch([pa.array(root, pa.int32()), pa.array(d[np.arange(len(d)), root]), *s.columns], names=["root", "parent", "vec_id", "vec"])
-
-    dealt = common.stored(vectors.mapInArrow(below, "root int, parent double, vec_id long, vec array<long>"), "mtree-dealt")
-    counts = {r["root"]: r["n"] for r in dealt.groupBy("root").agg(F.count("*").alias("n")).collect()}  # at most ``roots`` rows
-    pages = F.element_at(F.array(*[F.lit(max(1, -(-counts.get(r, 0) // page_rows))) for r in range(max(1, len(top)))]), F.col("root") + 1)
-    dealt = dealt.withColumn("page", F.pmod(F.xxhash64("vec_id", "parent"), pages).cast("int"))
+            t = pa.Table.from_batches([b])
+            names = list(zip(t.column("at").to_pylist(), t.column("part").to_pylist(), strict=True))
+            new = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for s, e in zip(new, new[1:], strict=False):
+                if names[s] != at:
+                    at, cells, routing = names[s], [], []
+                own = t.slice(s, e - s)
+                children = int((own.column("kind").to_numpy() == 0).sum())
+                if children:
+                    cells += own.column("cell").slice(0, children).to_pylist()
+                    routing += [np.frombuffer(x) for x in own.column("routing").slice(0, children).to_pylist()]
+                for k in range(children, e - s, 4000):
+                    part = own.slice(k, min(4000, e - s - k))
+                    d = distances(lift(_matrix(part.column("vec"), dim), square), np.array(routing))
+                    near = d.argmin(axis=1)
+                    yield pa.record_batch([pa.array([cells[i] for i in near.tolist()], pa.string()), pa.array(d[np.arange(len(d)), near]), *(part.column(c).combine_chunks() for c in ("vec_id", "row", "vec"))], names=["cell", "d", "vec_id", "row", "vec"])
+
+    return rows.mapInArrow(below, "cell string, d double, vec_id long, row long, vec array<long>")
+
+
+def build(vectors: DataFrame, dim: int, square: float, fan: int = 64, page_rows: int = 1024, sample_rows: int = 2000, part_rows: int = 1 << 20, most_levels: int = 30) -> DataFrame:
+    """The tree's pages with their chains of ancestors, stored.  ``vectors`` is a stored table of vec_id and vec."""
+    spark = vectors.sparkSession
+    rest = common.stored(vectors.select(F.lit("r").alias("cell"), "vec_id", F.monotonically_increasing_id().alias("row"), "vec"), "mtree-rows")
+    left = rest.count()
+    nodes = common.stored(spark.range(1).select(F.lit("r").alias("cell"), F.lit(left).cast("long").alias("n"), F.array().cast(_CHAIN).alias("chain")), "mtree-nodes")
+    n_nodes, done, level = 1, [], 0
+    while left:
+        level += 1
+        pivots = common.stored(_pivots(rest, nodes, dim, square, fan, sample_rows), "mtree-pivots")
+        dealt = common.stored(_descend(rest, pivots, dim, square, max(1, -(-left // (n_nodes * part_rows)))), "mtree-dealt")
+        size = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("radius"))
+        one = F.struct(F.col("cell").alias("node"), "parent", "radius", "routing")
+        below = pivots.join(size, "cell").join(nodes.select(F.col("cell").alias("parent_cell"), "chain"), "parent_cell")
+        flat = F.col("flat") | F.lit(level >= most_levels)
+        below = common.stored(below.select("cell", "n", (flat | (F.col("n") <= page_rows)).alias("leaf"), F.concat("chain", F.array(one)).cast(_CHAIN).alias("chain")), "mtree-nodes")
+        leaves, inner = below.where("leaf").drop("leaf"), below.where("not leaf").drop("leaf")
+        done.append((common.stored(_pages(dealt, leaves, dim, page_rows), "mtree"), below))
+        last, rest = rest, common.stored(dealt.join(inner.select("cell"), "cell", "left_semi").select("cell", "vec_id", "row", "vec"), "mtree-rows")
+        common.drop(last, dealt, pivots)
+        nodes, left, n_nodes = inner, rest.count(), max(1, inner.count())
+    common.drop(rest)
+    every = done[0][0]
+    for pages, _ in done[1:]:
+        every = every.unionByName(pages)
+    common.drop(*[below for _, below in done])
+    return every
+
+
+def _pages(dealt: DataFrame, leaves: DataFrame, dim: int, page_rows: int) -> DataFrame:
+    own = dealt.join(leaves.select("cell", "n"), "cell").withColumn("page", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / page_rows)).cast("int"))
 
     def page(table: pa.Table) -> pa.Table:
-        x = _matrix(table.column("vec"), dim)
-        p = lift(x, square)
-        middle = int(distances(p, p.mean(axis=0, keepdims=True))[:, 0].argmin())
-        e = distances(p, p[middle : middle + 1])[:, 0]
+        e = table.column("d").to_numpy()
         order = np.argsort(e, kind="stable")
-        ids = table.column("vec_id").to_numpy()[order]
-        root = table.column("root")[0].as_py()
-        parent = float(distances(p[middle : middle + 1], top[root : root + 1])[0, 0])
-        cells = [root, len(ids), parent, float(e.max()), p[middle].tobytes(), ids.astype(np.int64).tobytes(), e[order].tobytes(), x[order].astype(np.int64).tobytes()]
-        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), *[pa.binary()] * 4]
+        cells = [table.column("cell")[0].as_py(), len(e), table.column("vec_id").to_numpy()[order].tobytes(), e[order].tobytes(), _matrix(table.column("vec"), dim)[order].astype(np.int64).tobytes()]
+        kinds = [pa.string(), pa.int32(), *[pa.binary()] * 3]
         return pa.table([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=[x.split()[0] for x in _PAGE.split(", ")])
 
-    return common.stored(dealt.groupBy("root", "page").applyInArrow(page, _PAGE), "mtree"), top
+    made = own.select("cell", "page", "d", "vec_id", "vec").groupBy("cell", "page").applyInArrow(page, _PAGE)
+    return made.join(leaves.select("cell", "chain"), "cell")
 
 
 class Best:
@@ -132,51 +197,87 @@ class Best:
         self.kth[self.q[last]] = np.maximum(self.kth[self.q[last]], self.score[last])
 
 
-def visit(pages: list[dict], queries: np.ndarray, square: float, top: np.ndarray, best: Best, stats: dict | None = None) -> None:
-    """Searches some pages for all queries, best first."""
-    norms = (queries * queries).sum(axis=1)
-    lifted = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
-    slack = 0.5 + 1e-9 * (norms + square)
-    reach = lambda: np.sqrt(np.maximum(norms + square - 2.0 * (best.kth - slack), 0.0))  # noqa: E731  no point farther than this can enter
-    parent, radius = np.array([p["parent"] for p in pages]), np.array([p["radius"] for p in pages])
-    routing, root = np.array([p["routing"] for p in pages]), np.array([p["root"] for p in pages])
-    to_top = distances(lifted, top)
-    least = np.maximum(np.abs(to_top[:, root] - parent) - radius, 0.0)  # by parent distances alone
-    open_ = least <= reach()[:, None] + 1e-6
-    to_page = np.full((len(queries), len(pages)), np.inf)
-    for j in range(len(pages)):
-        q = np.flatnonzero(open_[:, j])
-        if len(q):
-            to_page[q, j] = distances(lifted[q], routing[j : j + 1])[:, 0]
-    least = np.maximum(least, np.where(np.isinf(to_page), np.inf, to_page - radius))
-    order = np.argsort(least, axis=1, kind="stable")
-    for step in range(len(pages)):
-        j = order[:, step]
-        far = reach()
-        go = np.flatnonzero(least[np.arange(len(queries)), j] <= far + 1e-6)
-        if not len(go):
-            break  # the bounds rise from step to step and the reach falls
-        for p in np.unique(j[go]).tolist():
-            q = go[j[go] == p]
-            page = pages[p]
-            low = np.searchsorted(page["entries"], (to_page[q, p] - far[q]).min() - 1e-6, "left")
-            high = np.searchsorted(page["entries"], (to_page[q, p] + far[q]).max() + 1e-6, "right")
-            if stats is not None:
-                stats["computed"] = stats.get("computed", 0) + len(q) * max(0, high - low)
-            if high <= low:
+class Search:
+    """The queries of a block, with what is known of the nodes they have met."""
+
+    def __init__(self, queries: np.ndarray, square: float, best: Best, stats: dict | None = None, held_nodes: int = 512, block: int = 64):
+        self.queries, self.best, self.stats, self.held_nodes, self.block = queries, best, stats, held_nodes, block
+        self.lifted = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
+        self.norms = (queries * queries).sum(axis=1) + square
+        self.slack = 0.5 + 1e-9 * self.norms
+        self.nodes: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def reach(self) -> np.ndarray:
+        """No point farther than this can enter a query's best."""
+        return np.sqrt(np.maximum(self.norms - 2.0 * (self.best.kth - self.slack), 0.0)) + 1e-6
+
+    def count(self, what: str, n: int) -> None:
+        if self.stats is not None:
+            self.stats[what] = self.stats.get(what, 0) + n
+
+    def node(self, link: dict, above: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        """(least, distance) to a node for each query: a bound on its points' distances, and the distance to its routing object where that was computed, else infinity."""
+        if (known := self.nodes.pop(link["node"], None)) is None:
+            n = len(self.queries)
+            # by the parent distance alone; a query that dropped the parent drops the child
+            least = np.zeros(n) if above is None else np.where(np.isinf(above[1]), np.inf, np.maximum(above[0], np.abs(above[1] - link["parent"]) - link["radius"]))
+            go, far = np.flatnonzero(least <= self.reach()), np.full(n, np.inf)
+            self.count("avoided", n - len(go))
+            self.count("routed", len(go))
+            far[go] = distances(self.lifted[go], link["routing"][None])[:, 0]
+            known = np.where(np.isinf(far), np.inf, np.maximum(least, far - link["radius"])), far
+            if len(self.nodes) >= self.held_nodes:
+                self.nodes.pop(next(iter(self.nodes)))  # the least lately met
+        self.nodes[link["node"]] = known
+        return known
+
+    def visit(self, pages: list[dict]) -> None:
+        """Searches some pages for all queries, best first.  Bounds are of the reach at the time, which only shrinks."""
+        if not pages or not len(self.queries):
+            return
+        met = []
+        for page in pages:
+            at = None
+            for link in page["chain"]:
+                at = self.node(link, at)
+            met.append(at)
+        least = np.stack([x[0] for x in met], axis=1)
+        order = np.argsort(least, axis=1, kind="stable")
+        every = np.arange(len(self.queries))
+        for step in range(len(pages)):
+            j, far = order[:, step], self.reach()
+            go = np.flatnonzero(least[every, j] <= far)
+            if not len(go):
+                break  # the bounds rise from step to step and the reach falls
+            for p in np.unique(j[go]).tolist():
+                self.search(pages[p], go[j[go] == p], met[p][1], far)
+
+    def search(self, page: dict, q: np.ndarray, to_page: np.ndarray, far: np.ndarray) -> None:
+        entries = page["entries"]
+        low = np.searchsorted(entries, to_page[q] - far[q] - 1e-6, "left")
+        high = np.searchsorted(entries, to_page[q] + far[q] + 1e-6, "right")
+        for s in range(0, len(entries), self.block):
+            e = min(s + self.block, len(entries))
+            own = q[(low < e) & (high > s)]  # the queries whose ring has entries here
+            if not len(own):
                 continue
-            score = queries[q] @ page["vecs"][low:high].T if page["exact"] else (queries[q].astype(np.int64) @ page["vecs"][low:high].astype(np.int64).T)
-            a, b = np.nonzero(score >= best.kth[q][:, None])
-            best.add(q[a], score[a, b], page["ids"][low:high][b])
+            self.count("computed", len(own) * (e - s))
+            vecs = page["vecs"][s:e]
+            score = self.queries[own] @ vecs.T if page["exact"] else self.queries[own].astype(np.int64) @ vecs.T
+            a, b = np.nonzero(score >= self.best.kth[own][:, None])
+            if len(a):
+                self.best.add(own[a], score[a, b], page["ids"][s:e][b])
 
 
-def _open(row: dict, dim: int) -> dict:
+def opened(row: dict, dim: int) -> dict:
+    """A stored page with its arrays."""
     vecs = np.frombuffer(row["vecs"], np.int64).reshape(-1, dim)
     exact = not vecs.size or float(np.abs(vecs).max()) ** 2 * dim < 2.0**52
-    return row | {"routing": np.frombuffer(row["routing"], np.float64), "ids": np.frombuffer(row["ids"], np.int64), "entries": np.frombuffer(row["entries"], np.float64), "vecs": vecs.astype(np.float64) if exact else vecs, "exact": exact}
+    chain = [link | {"routing": np.frombuffer(link["routing"])} for link in row["chain"]]
+    return row | {"chain": chain, "ids": np.frombuffer(row["ids"], np.int64), "entries": np.frombuffer(row["entries"]), "vecs": vecs.astype(np.float64) if exact else vecs, "exact": exact}
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", factor: float = 1024.0, roots: int = 64, page_rows: int = 1024, query_rows: int = 4096, sample_rows: int = 2000, held_pages: int = 64) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", factor: float = 1024.0, fan: int = 64, page_rows: int = 1024, query_rows: int = 4096, sample_rows: int = 2000, held_pages: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row that ``is_query`` picks by id, the ``k`` best of all other rows.
 
     Ties go to the smaller id, and fewer rows than ``k`` are all returned.  Rows
@@ -201,7 +302,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
         known = 0
     else:
         known = len(sample)
-    pages, top = build(data, dim, square, sample, roots, page_rows)
+    pages = build(data, dim, square, fan, page_rows, sample_rows)
     asked = data.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("vec").alias("vec"))
     blocks = max(1, -(-asked.count() // query_rows))
     found = []
@@ -216,22 +317,23 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
             scores = queries @ sample.T
             scores[ids[:, None] == sample_ids[None, :]] = -np.inf
             floor = np.partition(scores, known - k, axis=1)[:, known - k]
-        sent = spark.sparkContext.broadcast((queries, ids, floor, top))
+        sent = spark.sparkContext.broadcast((queries, ids, floor))
 
         def search(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            queries, ids, floor, top = sent.value
+            queries, ids, floor = sent.value
             best, held = Best(ids, floor, k), []
+            running = Search(queries, square, best)
             for b in it:
-                for i in range(b.num_rows):
-                    held.append(_open({name: b.column(name)[i].as_py() for name in b.schema.names}, dim))
+                for row in b.to_pylist():
+                    held.append(opened(row, dim))
                     if len(held) >= held_pages:
-                        visit(held, queries, square, top, best)
+                        running.visit(held)
                         held = []
-            if held:
-                visit(held, queries, square, top, best)
+            running.visit(held)
             yield pa.record_batch([pa.array(ids[best.q]), pa.array(best.vec), pa.array(best.score.astype(np.int64))], names=["query_id", "vec_id", "score"])
 
-        found.append(pages.mapInArrow(search, "query_id long, vec_id long, score long"))
+        found.append(common.stored(pages.mapInArrow(search, "query_id long, vec_id long, score long"), "mtree-found"))
+        sent.destroy()
     if not found:
         return empty
     every = found[0]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quernstone.llm import mtree, simhash
+from quernstone.llm import common, mtree, simhash
 
 
 def brute_top(vecs, k):
@@ -32,34 +32,43 @@ def test_the_tree_finds_the_exact_best(spark, kind):
     vecs = dict(enumerate(x))
     df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in vecs.items()], "vec_id long, embedding array<double>").repartition(3)
     got: dict = {}
-    for r in mtree.top_k(df, lambda i: i % 100 == 0, roots=8, page_rows=40, query_rows=3, sample_rows=100, held_pages=4).orderBy("query_id", "rank").collect():
+    for r in mtree.top_k(df, lambda i: i % 100 == 0, fan=4, page_rows=40, query_rows=3, sample_rows=100, held_pages=4).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert got == brute_top(vecs, 10)
 
 
-def test_bounds_avoid_most_computations():
+def test_bounds_avoid_most_computations_on_the_built_pages(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(40, 8)) * 5
-    x = np.round((centres[rng.integers(0, 40, 8000)] + 0.05 * rng.normal(size=(8000, 8))) * 1024)
+    x = np.round((centres[rng.integers(0, 40, 6000)] + 0.05 * rng.normal(size=(6000, 8))) * 1024).astype(np.int64)
     square = float((x * x).sum(axis=1).max())
-    top = mtree.lift(x[:200], square)[mtree.spread(mtree.lift(x[:200], square), 40)]
-    points = mtree.lift(x, square)
-    root = mtree.distances(points, top).argmin(axis=1)
-    pages = []
-    for r in np.unique(root).tolist():
-        own = np.flatnonzero(root == r)
-        routing = points[own[0]]
-        e = mtree.distances(points[own], routing[None])[:, 0]
-        order = np.argsort(e)
-        pages.append({"root": r, "parent": float(mtree.distances(routing[None], top[r : r + 1])[0, 0]), "radius": float(e.max()), "routing": routing, "ids": own[order], "entries": e[order], "vecs": x[own[order]], "exact": True})
+    data = common.stored(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vec array<bigint>"), "vectors")
+    pages = [mtree.opened(r.asDict(recursive=True), 8) for r in mtree.build(data, 8, square, fan=6, page_rows=100, sample_rows=300, part_rows=1000).collect()]
+    # the tree: whole, of pages no larger than asked, deeper than its top, with radii and distances that hold
+    assert sorted(i for p in pages for i in p["ids"].tolist()) == list(range(6000))
+    assert max(p["n"] for p in pages) <= 100 and max(len(p["chain"]) for p in pages) >= 3
+    for p in pages:
+        points, above = mtree.lift(p["vecs"], square), None
+        for link in p["chain"]:
+            assert mtree.distances(points, link["routing"][None]).max() <= link["radius"] + 1e-3
+            if above is not None:
+                assert abs(mtree.distances(above[None], link["routing"][None])[0, 0] - link["parent"]) < 1e-3
+            above = link["routing"]
     stats: dict = {}
+    x = x.astype(np.float64)
     best = mtree.Best(np.arange(20), np.full(20, -np.inf), 10)
-    mtree.visit(pages, x[:20], square, top, best, stats)
+    mtree.Search(x[:20], square, best, stats).visit(pages)
     for q in range(20):
         scores = x @ x[q]
         scores[q] = -np.inf
         assert sorted(best.score[best.q == q])[::-1] == sorted(scores)[::-1][:10]
-    assert stats["computed"] < 0.5 * 20 * 8000
+    assert stats["computed"] < 0.3 * 20 * 6000
+
+
+def test_equal_vectors_fill_several_pages(spark):
+    data = common.stored(spark.createDataFrame([(i, [3, 4]) for i in range(500)], "vec_id long, vec array<bigint>"), "vectors")
+    pages = mtree.build(data, 2, 25.0, fan=4, page_rows=100, sample_rows=100).collect()
+    assert sum(p["n"] for p in pages) == 500 and len(pages) > 3
 
 
 def brute_fingerprint(text):
