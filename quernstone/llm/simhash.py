@@ -12,8 +12,8 @@ and the Hamming distance of the whole fingerprints decides.
 Equal fingerprints are one point, however many documents have it.  Points go to
 cells by whole-number expressions on the fingerprint's words, and one shuffle
 brings a cell's points together, in order.  A cell gives a spanning forest of
-its links and not its pairs, each tree grown from its least point, so that the
-many tables name few edges between them.  A cell of more than ``cell_points`` is
+its links and not its pairs, each tree grown from a point in the middle of its
+neighbours, which most tables choose alike, so they name few edges between them.  A cell of more than ``cell_points`` is
 only counted there; its points then come again, dealt into chunks, and each pair
 of chunks is compared in a task of its own.
 
@@ -153,7 +153,12 @@ def masks(table: list[int], bits: int, segment: int) -> list[int]:
 
 
 def forest(words: np.ndarray, distance: int, segment: int = 2, block: int = 256) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among some distinct fingerprints, given as (n, words) numbers; trees grow from their first."""
+    """Edges of a spanning forest of the links among some distinct fingerprints, given as (n, words) numbers.
+
+    A tree grows from the point nearest to the bitwise majority of its first
+    point's neighbours: of a group of near copies mostly the same one, whichever
+    of them a cell holds.
+    """
     n, counts = len(words), embed(words, segment)
     close = np.zeros((n, n), bool)
     for i in range(0, n, block):
@@ -168,7 +173,10 @@ def forest(words: np.ndarray, distance: int, segment: int = 2, block: int = 256)
         close[i:, i : i + block] |= near.T
     left, edges = close.sum(axis=1) > 1, []
     while left.any():
-        queue = [int(left.argmax())]
+        around = np.flatnonzero(close[left.argmax()] & left)
+        bits = np.unpackbits(np.ascontiguousarray(words[around]).view(np.uint8).reshape(len(around), -1), axis=1)
+        middle = 2 * bits.sum(axis=0, dtype=np.int32) > len(around)
+        queue = [int(around[(bits != middle).sum(axis=1).argmin()])]
         left[queue] = False
         while queue:
             at = queue.pop()
