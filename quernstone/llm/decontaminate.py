@@ -1,21 +1,21 @@
-"""Benchmark decontamination by multi-pattern search with block shift tables.
+"""Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 Patterns are the word windows of the benchmark items: ``window`` consecutive
 words, or the whole item where it has fewer.  Texts are searched as sequences of
 word numbers, number 0 being any word that no pattern has.
 
-For patterns of one length m and blocks of b words, an occurrence that starts
-anywhere covers the block that ends at some multiple of m - b + 1, so only those
-blocks are looked at: a block that stands in no pattern rules out every start
-that covers it (the shift table's largest shift, m - b + 1).  A block that does
-stand in patterns names the few starts at which they could begin; for these the
-hash of the suffix of m words selects the bucket, and the words are compared one
-by one.
+For patterns of one length m and blocks of b words (two, or one where m is below
+three) a table by block hash has the block's shift: how far the search may move
+on from a place where the block ends the m words, m - b + 1 where no pattern has
+the block and 0 where some pattern ends with it.  Only words at the places the
+search stops at are looked up.  At shift 0 the suffix block's hash selects the
+bucket of patterns that end so, the hash of all m words those of them to test,
+and the words themselves are compared.
 
 The patterns come to the driver in batches whose bytes are bounded by
-``batch_bytes``; each batch is a broadcast of its own.  The passes over the texts
-are chained, each adding its hits to the row it reads, so any number of batches
-costs one scan and no shuffle.
+``batch_bytes``; each batch is a broadcast of its own.  Up to ``chained`` batches
+are searched in one pass over the texts, each adding its hits to the row it
+reads; then the rows are written, the batches released, and the next pass begins.
 """
 
 from __future__ import annotations
@@ -28,11 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Bytes to lower case, and every ASCII character that is no letter or digit to a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of item texts in a batch: some 1.3 million windows, which take about 0.4 GB while the tables are built and 0.12 GB when sent.
-BATCH_BYTES = 8 << 20
+#: Bytes of item texts in a batch: some 0.7 million windows, which take about 0.2 GB while the tables are built and 0.1 GB when sent.
+BATCH_BYTES = 4 << 20
+#: Batches in one pass over the texts: as many Python workers follow each other in a task.
+CHAINED = 4
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
@@ -50,6 +54,10 @@ def _hash(rows: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Factor of the first word's number in a block's hash.
+_BLOCK = 0x9E3779B1
+
+
 class Patterns:
     """All windows of some items, ready to be searched for."""
 
@@ -75,60 +83,52 @@ class Patterns:
     def _group(m: int, found: dict[tuple[int, ...], list[int]]) -> dict:
         rows = np.array(list(found), np.int64).reshape(-1, m)
         block = 2 if m >= 3 else 1
-        shift = m - block + 1
+        bits = max(10, (4 * len(rows) * (m - block + 1)).bit_length())
+        mask = (1 << min(bits, 24)) - 1
+        shifts = np.full(mask + 1, m - block + 1, np.uint8 if m < 256 else np.uint32)
+        for j in range(m - block + 1):  # from the largest shift to 0, so a block keeps its smallest
+            ends = (rows[:, j] * _BLOCK + rows[:, j + 1] if block == 2 else rows[:, j]) & mask
+            shifts[ends] = m - block - j
         hashes = _hash(rows)
-        order = np.argsort(hashes, kind="stable")
-        rows, hashes = rows[order], hashes[order]
-        owners = list(found.values())
-        starts: dict[int, set[int]] = defaultdict(set)
-        for j in range(shift):
-            for h in np.unique(_hash(rows[:, j : j + block])).tolist():
-                starts[h].add(j)
-        keys = np.array(sorted(starts), np.uint64)
-        pairs = [(i, j) for i, h in enumerate(keys.tolist()) for j in sorted(starts[h])]
-        counts = np.bincount([i for i, _ in pairs], minlength=len(keys))
+        order = np.lexsort((hashes, ends))
+        rows, hashes, ends, owners = rows[order], hashes[order], ends[order], list(found.values())
+        suffixes, first = np.unique(ends, return_index=True)
         return {
-            "m": m, "block": block, "shift": shift, "rows": rows, "hashes": hashes,
-            "owners": [owners[i] for i in order.tolist()], "keys": keys,
-            "offsets": np.array([j for _, j in pairs], np.int64), "first": np.cumsum(counts) - counts, "counts": counts,
+            "m": m, "block": block, "mask": mask, "shifts": shifts.tobytes() if m < 256 else shifts.tolist(), "rows": rows, "hashes": hashes,
+            "owners": [owners[i] for i in order.tolist()], "suffixes": suffixes, "bounds": np.append(first, len(rows)),
         }
 
-    def search(self, numbers: np.ndarray) -> list[tuple[int, int, list[int]]]:
-        """(start, length, items) of every occurrence in one text's word numbers."""
+    def search(self, words: list[bytes]) -> list[tuple[int, int, list[int]]]:
+        """(start, length, items) of every occurrence in one text's words."""
         out: list[tuple[int, int, list[int]]] = []
+        get, n = self.vocabulary.get, len(words)
         for g in self.groups:
-            m, block, shift, n = g["m"], g["block"], g["shift"], len(numbers)
-            if n < m:
-                continue
-            # block starts: shift-1, 2*shift-1, ...; a window [s, s+m) holds exactly one of them at offset 0..shift-1
-            at = np.arange(shift - 1, n - block + 1, shift, dtype=np.int64)
-            live = numbers[at] > 0
-            if block == 2:
-                live &= numbers[at + 1] > 0
-            at = at[live]
-            if not len(at):
-                continue
-            h = _hash(numbers[at[:, None] + np.arange(block)])
-            k = np.searchsorted(g["keys"], h)
-            k[k == len(g["keys"])] = 0
-            hit = g["keys"][k] == h
-            at, k = at[hit], k[hit]
-            if not len(at):
-                continue
-            c = g["counts"][k]
-            where = np.repeat(g["first"][k] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-            start = np.repeat(at, c) - g["offsets"][where]
-            start = start[(start >= 0) & (start + m <= n)]
-            if not len(start):
-                continue
-            got = numbers[start[:, None] + np.arange(m)]
-            suffix = _hash(got)
-            low = np.searchsorted(g["hashes"], suffix, "left")
-            high = np.searchsorted(g["hashes"], suffix, "right")
-            for i in np.flatnonzero(high > low).tolist():
-                for p in range(low[i], high[i]):
-                    if np.array_equal(g["rows"][p], got[i]):
-                        out.append((int(start[i]), m, g["owners"][p]))
+            m, mask, shifts, two = g["m"], g["mask"], g["shifts"], g["block"] == 2
+            most, end = m - g["block"] + 1, m
+            while end <= n:
+                if not (last := get(words[end - 1], 0)):
+                    end += m  # no pattern has the word, so none spans it
+                    continue
+                if two:
+                    if not (before := get(words[end - 2], 0)):
+                        end += most
+                        continue
+                    h = (before * _BLOCK + last) & mask
+                else:
+                    h = last & mask
+                if shift := shifts[h]:
+                    end += shift
+                    continue
+                k = int(np.searchsorted(g["suffixes"], h))
+                if k < len(g["suffixes"]) and g["suffixes"][k] == h:
+                    got = np.array([[get(w, 0) for w in words[end - m : end]]], np.int64)
+                    low, high, whole = g["bounds"][k], g["bounds"][k + 1], _hash(got)[0]
+                    p = low + int(np.searchsorted(g["hashes"][low:high], whole))
+                    while p < high and g["hashes"][p] == whole:
+                        if np.array_equal(g["rows"][p], got[0]):
+                            out.append((end - m, m, g["owners"][p]))
+                        p += 1
+                end += 1
         return out
 
 
@@ -148,11 +148,10 @@ def _apart(pairs: list[tuple[int, int]]) -> list[int]:
 
 def _scan(patterns: Patterns, batch: pa.RecordBatch, last: bool) -> pa.RecordBatch:
     """The batch with what these patterns hit added to its spans and items; after the last patterns the text goes."""
-    get = patterns.vocabulary.get
     n_words, all_spans, all_items = [], [], []
     for text, spans, items in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
         words = words_of(text)
-        found = patterns.search(np.fromiter((get(w, 0) for w in words), np.int64, len(words))) if patterns.groups and words else []
+        found = patterns.search(words)
         n_words.append(len(words))
         all_spans.append(_apart([*zip(spans[::2], spans[1::2], strict=True), *((s, s + m) for s, m, _ in found)]) if found else spans)
         all_items.append(sorted({*items, *(patterns.ids[i] for _, _, owners in found for i in owners)}) if found else items)
@@ -168,7 +167,24 @@ def batch_filters(items: DataFrame, id_col: str, text_col: str, batch_bytes: int
         yield light if n == 1 else light.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
 
 
-def search(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, window: int = 10, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def _passes(out: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int, batch_bytes: int, chained: int, add) -> DataFrame:
+    """``out`` after the search for all batches: ``add(frame, sent, last)`` chains one, and after ``chained`` the rows are written and the batches released."""
+    spark, sent, stored = out.sparkSession, [], None
+    parts = list(batch_filters(items, item_id, item_text, batch_bytes))
+    for k, part in enumerate(parts):
+        sent.append(spark.sparkContext.broadcast(Patterns([(r["id"], r["text"]) for r in part.collect()], window)))
+        out = add(out, sent[-1], k == len(parts) - 1)
+        if len(sent) == chained and k < len(parts) - 1:
+            before, out = stored, common.stored(out, "decontaminate")
+            stored = out
+            common.drop(*([before] if before is not None else []))
+            for x in sent:
+                x.destroy()
+            sent = []
+    return out
+
+
+def search(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id: str, item_text: str, window: int = 10, batch_bytes: int = BATCH_BYTES, chained: int = CHAINED) -> DataFrame:
     """Per row of ``docs``: ``row_key`` (its id as text), ``n_words``, ``spans`` and ``items``.
 
     ``spans`` lists starts and ends (exclusive) of the hit words in turn, apart
@@ -177,23 +193,21 @@ def search(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_i
     Items without words match nothing; equal items are all named; a null item id
     reads as the empty text.
     """
-    spark = docs.sparkSession
     out = docs.select(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("row_key"), F.col(text_col).cast("string").alias("text"),
+        F.col(id_col).cast("string").alias("row_key"), F.col(text_col).cast("string").alias("text"),
         F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"),
     )
-    parts = list(batch_filters(items, item_id, item_text, batch_bytes))
-    for k, part in enumerate(parts):
-        sent, last = spark.sparkContext.broadcast(Patterns([(r["id"], r["text"]) for r in part.collect()], window)), k == len(parts) - 1
 
-        def scan(it: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
+    def add(out: DataFrame, sent, last: bool) -> DataFrame:
+        def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             patterns = sent.value
             for b in it:
                 for i in range(0, b.num_rows, 500):
                     yield _scan(patterns, b.slice(i, 500), last)
 
-        out = out.mapInArrow(scan, "row_key string, text string, n_words long, spans array<bigint>, items array<string>")
-    return out.drop("text")
+        return out.mapInArrow(scan, "row_key string, text string, n_words long, spans array<bigint>, items array<string>")
+
+    return _passes(out, items, item_id, item_text, window, batch_bytes, chained, add).drop("text")
 
 
 def n_hit():
@@ -208,35 +222,28 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType
     found = search(docs, id_col, text_col, items, item_id, item_text, **more)
     return found.select(
-        F.when(F.col("row_key") != "", F.col("row_key")).cast(kind).alias(id_col),
+        F.col("row_key").cast(kind).alias(id_col),
         "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", **more) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, batch_bytes: int = BATCH_BYTES, chained: int = CHAINED) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, with their columns as they are.
 
-    One narrow pass per batch of items; no key is needed, so nulls and repeated
-    ids are kept apart.  An empty ``items`` keeps every row.
+    Narrow passes; no key is needed, so nulls and repeated ids are kept apart.
+    An empty ``items`` keeps every row.
     """
-    spark, schema = docs.sparkSession, docs.schema
-    out = docs
-    at = docs.columns.index(text_col)
-    for part in batch_filters(items, item_id, item_text, more.get("batch_bytes", BATCH_BYTES)):
-        sent = spark.sparkContext.broadcast(Patterns([(r["id"], r["text"]) for r in part.collect()], more.get("window", 10)))
+    schema, at = docs.schema, docs.columns.index(text_col)
 
-        def scan(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def add(out: DataFrame, sent, last: bool) -> DataFrame:
+        def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             patterns = sent.value
-            get = patterns.vocabulary.get
             for b in it:
                 for k in range(0, b.num_rows, 500):
                     s = b.slice(k, 500)
-                    keep = []
-                    for text in s.column(at).cast(pa.binary()).to_pylist():
-                        words = words_of(text)
-                        keep.append(not words or not patterns.search(np.fromiter((get(w, 0) for w in words), np.int64, len(words))))
-                    yield s.filter(pa.array(keep, pa.bool_()))
+                    yield s.filter(pa.array([not patterns.search(words_of(t)) for t in s.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(scan, schema)
-    return out
+        return out.mapInArrow(scan, schema)
+
+    return _passes(docs, items, item_id, item_text, window, batch_bytes, chained, add)

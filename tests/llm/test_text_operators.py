@@ -38,13 +38,41 @@ def test_occurrences_equal_those_of_a_plain_search(spark, batch_bytes):
     items = [(i, text(int(n))) for i, n in enumerate([1, 2, 3, 4, 9, 10, 11, 12, 30, 0, 12])] + [(50, "A, b; c"), (51, None)]
     items.append((60, items[7][1]))
     docs = [(i, text(int(rng.integers(0, 80)))) for i in range(40)] + [(100 + i, text(15) + " " + (items[i][1] or "") + " " + text(15)) for i in range(len(items))]
-    got = decontaminate.search(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", batch_bytes=batch_bytes)
+    got = decontaminate.search(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", batch_bytes=batch_bytes, chained=3)
     rows = {int(r["row_key"]): r for r in got.withColumn("n", decontaminate.n_hit()).collect()}
     for i, t in docs:
         n, hit, found = brute_hits(t, items)
         assert (rows[i]["n_words"], rows[i]["n"], rows[i]["items"]) == (n, hit, sorted(map(str, found)))
 
 
+def test_shifts_are_the_least_that_no_pattern_forbids():
+    rng = np.random.default_rng(2)
+    rows = [" ".join(f"w{i}" for i in rng.integers(0, 300, 10)) for _ in range(50)]
+    patterns = decontaminate.Patterns(list(enumerate(rows)))
+    (g,) = patterns.groups
+    hashed = lambda a, b: (a * decontaminate._BLOCK + b) & g["mask"]
+    wanted = {}
+    for row in g["rows"].tolist():
+        for j in range(9):
+            h = hashed(row[j], row[j + 1])
+            wanted[h] = min(wanted.get(h, 9), 8 - j)
+    assert all(g["shifts"][h] == wanted.get(h, 9) for h in range(g["mask"] + 1))
+    looked = []
+
+    class Words(list):
+        def __getitem__(self, i):
+            looked.append(i)
+            return super().__getitem__(i)
+
+    assert patterns.search(Words(f"x{i}".encode() for i in range(1000))) == [] and len(looked) == 100  # words of no pattern: one in ten is looked at
+
+
+def test_empty_and_null_ids_stay_apart(spark):
+    docs = spark.createDataFrame([("", "p q"), (None, "p q"), ("a", "z")], "doc_id string, text string")
+    items = spark.createDataFrame([(1, "p q")], "item_id long, text string")
+    assert {(r["doc_id"], r["n_hit"]) for r in decontaminate.report(docs, items).collect()} == {("", 2), (None, 2), ("a", 0)}
+
+
 def test_clean_documents_stay(spark):
     items = spark.createDataFrame([(1, "p q r s t u v w x y")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "before P, q r s t u v w x y after"), (2, "p q r s t u v w x"), (3, None)], "doc_id long, text string")
