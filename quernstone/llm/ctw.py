@@ -19,14 +19,19 @@ two latest context bytes.  A shard merges the counts as they stream in and cuts
 its grams where the third latest byte changes, so the nodes of depth 3 and more
 lie whole in slices that are worked on one by one; those of depth 2 are sums
 over slices.  The sums of depths 0 and 1, whose size is fixed (256 x 255 nodes),
-go to the driver.  Then shards answer the chunks, which stream past, with the
-log-probability of each of their grams, and chunks add them up by text.
-
-What is shuffled is each chunk's distinct grams twice, their answers, and the
-chunk's compressed texts once.  Chunks grow in number with the input and not in
-size.  A task holds a shard's distinct grams (12 bytes for each) and the tree of
-one slice, however many chunks there are; a frequent gram or word is one entry
-of each chunk that has it.
+go to the driver.  A slice carries the depth-2 nodes it needs, so the
+log-probabilities of its grams are worked out slice by slice, wherever it lies.
+Then shards answer the chunks, which stream past, with the log-probability of
+each of their grams, and chunks add them up by text.  A shard that is asked much
+(common bytes) answers in several tasks, each with its log-probabilities and a
+part of the chunks.
+
+What is shuffled is each chunk's distinct grams twice, their answers, the
+chunk's compressed texts once, the slices of large shards, and each shard's
+log-probabilities.  Chunks grow in number with the input and not in size.  A task
+holds a shard's distinct grams (12 bytes for each) or the tree of one slice,
+however many chunks there are; a frequent gram or word is one entry of each
+chunk that has it.
 """
 
 from __future__ import annotations
@@ -303,6 +308,12 @@ class Second:
         weighted = np.where(self.zeros + self.ones > 0, np.logaddexp(self.kt, self.children) - np.log(2.0), 0.0)
         return _added((self.names >> 16) * 256 + (self.names & 0xFF), self.zeros, self.ones, weighted)
 
+    def within(self, keys: np.ndarray, depth: int) -> Second:
+        """The nodes that these keys' contexts have; the keys stand in order."""
+        low, high = ((int(k) >> (8 * (depth - 1))) << 8 for k in (keys[0], keys[-1]))
+        a, b = np.searchsorted(self.names, [low, high + 256])
+        return Second(self.names[a:b], self.zeros[a:b], self.ones[a:b], self.children[a:b])
+
     def tobytes(self) -> bytes:
         return np.concatenate([self.names.astype(np.float64), self.zeros, self.ones, self.children]).tobytes()
 
@@ -376,8 +387,11 @@ def _lookup(table_keys: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.
 
 _DEALT = "shard int, chunk long, grams binary, words binary, word_counts binary, texts binary"
 _ASK = "shard int, chunk long, grams binary, words binary, word_counts binary"
-_MERGED = "shard int, chunk long, part int, grams binary, two binary, words binary, word_counts binary"
+_MERGED = "shard int, parts int, part int, grams binary, two binary, words binary, word_counts binary"
+_KNOWN = "shard int, salt int, chunk long, part int, grams binary, logs binary, words binary, word_counts binary"
 _ANSWER = "shard int, chunk long, logs binary, word_counts binary"
+#: Bytes of packed grams that a task answers, or as many as its shard's own log-probabilities have; a shard of over ``SHARD_PARTS`` slices has them worked out by several tasks.
+TASK_BYTES, SHARD_PARTS = 12 << 20, 8
 #: Chunks that are merged at once; more of them are merged in steps.
 FAN_IN = 256
 
@@ -497,9 +511,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, merger = _merged(batches)
         keys, counts = merger.keys, merger.counts
-        yield _table([[shard], [-1], [0], [None], [Second.of(keys, counts, depth).tobytes()], *([x] for x in merger.packed_words())], _MERGED)
-        for i, (a, b) in enumerate(slices(keys, depth)):
-            yield _table([[shard], [-1], [i + 1], [pack(keys[a:b], counts[a:b])], [None], [None], [None]], _MERGED)
+        second, cuts = Second.of(keys, counts, depth), slices(keys, depth)
+        yield _table([[shard], [len(cuts)], [0], [None], [second.tobytes()], *([x] for x in merger.packed_words())], _MERGED)
+        for i, (a, b) in enumerate(cuts):
+            yield _table([[shard], [len(cuts)], [i + 1], [pack(keys[a:b], counts[a:b])], [second.within(keys[a:b], depth).tobytes()], [None], [None]], _MERGED)
 
     counted, left = asked, dealt.where("shard < 0").count()
     while left > FAN_IN:
@@ -524,33 +539,56 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     top = top_tree(np.array([r["node"] for r in rows], np.int64), *(np.array([r[c] for r in rows], np.float64) for c in ("zeros", "ones", "children")))
     sent = spark.sparkContext.broadcast(top)
 
+    def predict(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            columns = [b.column(c) for c in b.schema.names]
+            for i in range(b.num_rows):
+                shard, _, at, packed, second, words, word_counts = (c[i].as_py() for c in columns)
+                if at == 0:
+                    row = (shard, 0, -1, 0, None, None, words, word_counts)
+                else:
+                    own, counts = unpack(packed)
+                    logs = Tree(own, counts, depth).log10(Second.frombytes(second), sent.value)
+                    row = (shard, 0, -1, at, pack(own, np.zeros(len(own), np.int64)), pack_logs(logs), None, None)
+                yield _table([[x] for x in row], _KNOWN)
+
+    large = F.col("parts") > SHARD_PARTS
+    known = common.stored(merged.where(~large).unionByName(merged.where(large).repartition("shard", "part")).mapInArrow(predict, _KNOWN), "ctw-known")
+    common.drop(merged)
+
     def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        two, known, keys, logs = None, {}, None, None
+        own, words_known, keys, logs = None, {}, None, None
         for b in it:
             columns, out = [b.column(c) for c in b.schema.names], [[], [], [], []]
             for i in range(b.num_rows):
-                shard, chunk, at, packed, second, words, word_counts = (c[i].as_py() for c in columns)
-                if chunk < 0 and at == 0:
-                    two, parts, keys = Second.frombytes(second), [], None
-                    known = dict(zip(words.split(b" "), unpack_numbers(word_counts).tolist(), strict=True)) if words else {}
-                elif chunk < 0:
-                    own, counts = unpack(packed)
-                    parts.append((own, Tree(own, counts, depth).log10(two, sent.value).astype(np.float32)))
-                else:
-                    if keys is None:
-                        keys, logs = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)]), np.concatenate([np.zeros(0, np.float32), *(x for _, x in parts)])
-                        parts = []
-                    ws = words.split(b" ") if words else []
-                    row = (shard, chunk, pack_logs(logs[np.searchsorted(keys, unpack(packed)[0])]), pack_numbers(np.fromiter((known[w] for w in ws), np.int64, len(ws))))
-                    for c, x in zip(out, row, strict=True):
-                        c.append(x)
+                shard, salt, chunk, at, packed, packed_logs, words, word_counts = (c[i].as_py() for c in columns)
+                if chunk < 0:
+                    if own != (shard, salt):
+                        own, parts, keys, words_known = (shard, salt), [], None, {}
+                    if at == 0:
+                        words_known = dict(zip(words.split(b" "), unpack_numbers(word_counts).tolist(), strict=True)) if words else {}
+                    else:
+                        parts.append((unpack(packed)[0], unpack_logs(packed_logs)))
+                    continue
+                if keys is None:
+                    keys, logs = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts)]), np.concatenate([np.zeros(0, np.float32), *(x for _, x in parts)])
+                    parts = []
+                ws = words.split(b" ") if words else []
+                row = (shard, chunk, pack_logs(logs[np.searchsorted(keys, unpack(packed)[0])]), pack_numbers(np.fromiter((words_known[w] for w in ws), np.int64, len(ws))))
+                for c, x in zip(out, row, strict=True):
+                    c.append(x)
             yield _table(out, _ANSWER)
 
+    # how many tasks answer for each shard; at most 65,536 rows
+    heavy = asked.groupBy("shard").agg(F.sum(F.octet_length("grams")).alias("asks"))
+    own_bytes = known.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length("grams") + F.octet_length("logs"), F.lit(0))).alias("holds"))
+    tasks = common.stored(heavy.join(own_bytes, "shard").select("shard", F.ceil(F.col("asks") / F.greatest(F.lit(TASK_BYTES), F.col("holds"))).cast("int").alias("tasks")), "ctw-tasks")
     none = F.lit(None).cast("binary")
-    asking = asked.select("shard", "chunk", F.lit(0).alias("part"), "grams", none.alias("two"), "words", none.alias("word_counts"))
-    # a shard's nodes come first and its chunks after them, so chunks stream past
-    answers = merged.unionByName(asking).repartition("shard").sortWithinPartitions("shard", "chunk", "part").mapInArrow(answer, _ANSWER)
+    asking = asked.join(F.broadcast(tasks), "shard").select("shard", F.pmod(F.xxhash64("chunk"), F.greatest("tasks", F.lit(1))).cast("int").alias("salt"), "chunk", F.lit(0).alias("part"), "grams", none.alias("logs"), "words", none.alias("word_counts"))
+    holding = known.drop("salt").join(F.broadcast(tasks), "shard").select("*", F.explode(F.sequence(F.lit(0), F.greatest("tasks", F.lit(1)) - 1)).alias("salt")).select(*[x.split()[0] for x in _KNOWN.split(", ")])
+    # what a shard knows comes first and its chunks after it, so chunks stream past
+    answers = holding.unionByName(asking).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "chunk", "part").mapInArrow(answer, _ANSWER)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = unpack_texts(left.column("texts")[0].as_py())

@@ -119,6 +119,18 @@ def test_merging_in_steps_gives_the_same(spark, monkeypatch):
     assert key(ctw.score(df, depth=3, chunk_bytes=60)) == {i: pytest.approx(v) for i, v in one.items()}
 
 
+def test_shards_that_answer_in_several_tasks_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(TEXTS * 12)), "doc_id long, text string")
+    key = lambda d: {r["doc_id"]: (r["score"], r["base_score"]) for r in d.collect()}
+    one = key(ctw.score(df, depth=3, chunk_bytes=60))
+    monkeypatch.setattr(ctw, "SHARD_PARTS", 0)  # all slices are worked out apart
+    monkeypatch.setattr(ctw, "TASK_BYTES", 1)
+    stored, seen = ctw.common.stored, {}
+    monkeypatch.setattr(ctw.common, "stored", lambda frame, name: seen.setdefault(name, stored(frame, name)))
+    assert key(ctw.score(df, depth=3, chunk_bytes=60)) == {i: pytest.approx(v) for i, v in one.items()}
+    assert seen["ctw-tasks"].where("tasks > 1").count() > 0
+
+
 def test_packing_round_trip():
     rng = np.random.default_rng(0)
     keys, counts = np.unique(rng.integers(0, 1 << 56, 1000).astype(np.uint64)), rng.integers(0, 1 << 40, 1000)
