@@ -11,18 +11,21 @@ one cycle through the whole set, so
 * no value stays as it is, unless its form has that value alone.
 
 Forms keep what a reader sees: lengths, separators, letter case, the script and
-its vowels, a card's issuer digit and check digit, an address's class, a given
-name's gender and script.  A surrogate may equal another original of its text,
+its vowels, a card's issuer digit and check digit, an address's network, a listed
+given name's gender and script, and the last letter of any other name, by which
+many languages mark gender.  A surrogate goes by the value alone, never by its
+surroundings: a title's gender is told in an entity's kind.  A surrogate may equal another original of its text,
 whose own surrogate differs from it again; moving it on would give its value two
 surrogates in the corpus.
 
-Names are found by titles and by lists of given names; a part of a found name
-that stands alone later in the document is the same person's and is replaced
-alike.
+Names are found by titles, by lists of given names and by phrases that introduce
+a name; a part of a found name that stands alone elsewhere in the document is the
+same person's and is replaced alike.  A name that none of these mark stays.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import ipaddress
@@ -57,20 +60,23 @@ _ALPHABET = {c: s for s in [*_UPPER, *LETTERS] for c in s}
 _NAME = r"[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*"
 _TITLES = {"m": r"Mr\.?|Mister|Sir|Herr|Monsieur|M\.|Señor|Sr\.|Don|Signor", "f": r"Mrs\.?|Ms\.?|Miss|Madam|Lady|Frau|Madame|Mme\.?|Mlle\.?|Señora|Sra\.|Señorita|Doña|Signora", "": r"Dr\.?|Prof\.?|Professor"}
 _TITLED = {g: re.compile(rf"(?<!\w)(?:{t})[ \t]+({_NAME}(?:[ \t]+{_NAME}){{0,2}})") for g, t in _TITLES.items()}
+_INTRODUCED = re.compile(rf"(?<!\w)(?:[Mm]y name is|[Ss]igned by|[Aa]ttn[.:]?|[Mm]e llamo|[Jj]e m'appelle|[Ii]ch heiße)[ \t]+({_NAME}(?:[ \t]+{_NAME}){{0,2}})")
 _LISTED = re.compile(rf"(?<!\w)((?:{'|'.join(sorted(_GENDER, key=len, reverse=True))})[ \t]+{_NAME})(?!\w)")
 PATTERNS = [
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ssn", re.compile(r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[.-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-]|\.[0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\w-])")),
+    ("local-phone", re.compile(r"(?<!\w)(?i:tel|telephone|phone|call|fax|mobile|cell|dial)(?!\w)[^\n0-9]{0,12}(?<![\w.+-])([0-9]{3}-[0-9]{4})(?![\w-]|\.[0-9])")),
     ("card", re.compile(r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9])")),
     ("ipv4", re.compile(r"(?<![\w.-])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w-]|\.[0-9])")),
-    ("ipv6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
+    ("ipv6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])")),
 ]
 #: Where patterns are tried: around digits that stand close together, and around "@".
 _DIGITS, _AT = re.compile(r"[0-9](?:[^0-9\n]{0,3}[0-9])+"), re.compile("@")
 _SPACED = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 _TITLE_WORDS = {t.encode() for ts in _TITLES.values() for t in ts.replace("\\.?", "").replace("\\.", "").split("|")}
+_INTRODUCTIONS = {b"name", b"by", b"Attn", b"attn", b"llamo", b"appelle", "heiße".encode()}
 _NAME_WORDS = {n.encode() for n in _GENDER}
 
 
@@ -96,6 +102,14 @@ def luhn(digits: list[int]) -> bool:
     return len(digits) > 1 and luhn_digit(digits[:-1]) == digits[-1]
 
 
+def ipv6_valid(text: str) -> bool:
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return True
+
+
 def iban_valid(text: str) -> bool:
     s = text.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
@@ -204,6 +218,8 @@ def next_value(keyed: Keyed, kind: str, text: str) -> str:
         plain = text[: at[-1]] + "0" + text[at[-1] + 1 :]
         got = _in_form(keyed, "card-valid", plain, lambda t: True, keep)
         return got[: at[-1]] + str(luhn_digit(_digits(got)[:-1])) + got[at[-1] + 1 :]
+    if kind == "local-phone":
+        return _in_form(keyed, kind, text, lambda t: True)
     if kind == "phone":
         country = re.match(r"\+[0-9]{1,3}(?=[ .-])", text)
         return _in_form(keyed, kind, text, lambda t: True, set(range(country.end())) if country else set())
@@ -228,11 +244,14 @@ def next_value(keyed: Keyed, kind: str, text: str) -> str:
             if not any((got := ipaddress.IPv4Address(x)) in net for net in _NETWORKS):
                 return str(got)
     if kind == "ipv6":
-        return ":".join(f"{keyed.after('ipv6-' + str(i) + ':' + str(len(p)), 16 ** len(p), int(p, 16)):0{len(p)}x}" for i, p in enumerate(text.lower().split(":")))
+        # groups keep their lengths and places, and "::" its own
+        got = ":".join(f"{keyed.after('ipv6-' + str(i) + ':' + str(len(p)), 16 ** len(p), int(p, 16)):0{len(p)}x}" if p else "" for i, p in enumerate(text.lower().split(":")))
+        return got.upper() if text != text.lower() else got
     if kind.startswith("given-"):
         listed = GIVEN[_GENDER[text]]
         return listed[keyed.after(kind, len(listed), listed.index(text))]
-    return _in_form(keyed, kind, text, lambda t: t not in _GENDER)
+    # the last letter stays: many languages mark gender there; a title's gender is no part of the form
+    return _in_form(keyed, f"name-{script_of(text)}", text, lambda t: t not in _GENDER, {len(text) - 1} if len(text) > 3 else set())
 
 
 def script_of(text: str) -> str:
@@ -241,54 +260,65 @@ def script_of(text: str) -> str:
 
 
 def name_kind(part: str, gender: str) -> str:
-    """A listed given name's list, or else a pseudonym's kind.
+    """A listed given name's list, or else a pseudonym's kind with the title's ``gender``, if that is known.
 
-    It goes by the name alone, whatever the title's ``gender``: a surname that is
-    a given name too has one surrogate in all texts.
+    A listed name has its own gender whatever the title's: a surname that is a
+    given name too has one surrogate in all texts.
     """
     if part in _GENDER:
         script, own = _GENDER[part]
         return f"given-{script}-{own}"
-    return f"name-{script_of(part)}"
+    return f"name-{script_of(part)}" + (f"-{gender}" if gender else "")
+
+
+class Spans:
+    """Spans that do not overlap, in order; each look-up is a binary search."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.spans: list[tuple[int, int, str]] = []
+
+    def add(self, a: int, b: int, kind: str) -> None:
+        """Adds a span unless a part of it is taken."""
+        i = bisect.bisect_left(self.starts, a)
+        if (i < len(self.starts) and self.starts[i] < b) or (i and self.spans[i - 1][1] > a):
+            return
+        self.starts.insert(i, a)
+        self.spans.insert(i, (a, b, kind))
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all entities, apart and in order; a name gives one for each of its parts."""
     # a title or a listed name always is a whole run of word characters, as the patterns see them
     words = set(text.encode().translate(_SPACED).split()) if text.isascii() else {w.encode("utf-8", "surrogatepass") for w in re.findall(r"\w+", text)}
-    titled, listed = not words.isdisjoint(_TITLE_WORDS), not words.isdisjoint(_NAME_WORDS)
+    titled, listed, introduced = (not words.isdisjoint(x) for x in (_TITLE_WORDS, _NAME_WORDS, _INTRODUCTIONS))
     near = {"email": _windows(text, _AT, 330)} if "@" in text else {}
     digits = _windows(text, _DIGITS, 48)
-    taken: list[tuple[int, int, str]] = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= s or a >= e for s, e, _ in taken)
-
+    taken, valid = Spans(), {"iban": iban_valid, "ipv6": ipv6_valid}
     for kind, pattern in PATTERNS:
         for window in near.get(kind, ()) if kind == "email" else digits:
             for m in pattern.finditer(text, *window):
-                if free(*m.span()) and (kind != "iban" or iban_valid(m.group())):
-                    taken.append((*m.span(), kind))
+                own = m.re.groups  # the number alone, where the pattern has what introduces it
+                if kind not in valid or valid[kind](m.group(own)):
+                    taken.add(*m.span(own), kind)
     parts: dict[str, str] = {}
     names = [(m, g, 1) for g, p in _TITLED.items() for m in p.finditer(text)] if titled else []
     names += [(m, "", 1) for m in _LISTED.finditer(text)] if listed else []
+    names += [(m, "", 1) for m in _INTRODUCED.finditer(text)] if introduced else []
     for m, gender, group in names:
         for p in re.finditer(_NAME, m.group(group)):
             if not p.group()[0].isupper():
                 break
             parts.setdefault(p.group(), name_kind(p.group(), gender))
-            a, b = m.start(group) + p.start(), m.start(group) + p.end()
-            if free(a, b):
-                taken.append((a, b, parts[p.group()]))
+            taken.add(m.start(group) + p.start(), m.start(group) + p.end(), parts[p.group()])
     if parts:  # the same person again, by a part of the name
         for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})(?!\w)", text):
-            if free(*m.span()):
-                taken.append((*m.span(), parts[m.group()]))
-    return sorted(taken)
+            taken.add(*m.span(), parts[m.group()])
+    return taken.spans
 
 
 def replace(text: str, keyed: Keyed) -> tuple[str, list[tuple[int, int, str]], int]:
-    """The text with surrogates, the entities' places in the original, and how many surrogates are not their value's successor: none, as nothing moves them."""
+    """The text with surrogates, the entities' places in the original, and how many of its values share a surrogate with another: none, as each form is one cycle."""
     spans = find(text)
     if not spans:
         return text, spans, 0
@@ -297,7 +327,8 @@ def replace(text: str, keyed: Keyed) -> tuple[str, list[tuple[int, int, str]], i
     for a, b, kind in spans:
         out += [text[at:a], made[kind, text[a:b]]]
         at = b
-    return "".join([*out, text[at:]]), spans, 0
+    values = {(value, got) for (_, value), got in made.items()}
+    return "".join([*out, text[at:]]), spans, len(values) - len({got for _, got in values})
 
 
 def written(text: str, spans: list[tuple[int, int, str]], keyed: Keyed) -> dict[tuple[str, str], str]:
@@ -310,7 +341,7 @@ def default_key(secret: str) -> bytes:
 
 
 def surrogate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", secret: str = "change me") -> DataFrame:
-    """(id, text, n_entities, entities, n_moved) for every row: the whole text with surrogates.
+    """(id, text, n_entities, entities, n_collisions) for every row: the whole text with surrogates.
 
     ``entities`` lists kind:start:end (code points of the original text, end
     exclusive), comma-joined.  Null texts stay null and have no entity; empty
@@ -328,9 +359,9 @@ def surrogate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                 yield pa.record_batch([
                     s.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([len(d[1]) for d in done], pa.int64()),
                     pa.array([",".join(f"{kind}:{a}:{b}" for a, b, kind in d[1]) for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64()),
-                ], names=["id", "text", "n_entities", "entities", "n_moved"])
+                ], names=["id", "text", "n_entities", "entities", "n_collisions"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, text string, n_entities long, entities string, n_moved long")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, text string, n_entities long, entities string, n_collisions long")
     return out.withColumnRenamed("id", id_col)
 
 
