@@ -118,6 +118,21 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, margin: float = 0.1) -> float:
     return float(np.clip(tail_u[keep][best] / tail_p[keep][best], 0.02, 0.98))
 
 
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray, bool]:
+    """The non-negative risk of weights ``w``, the gradient to descend along, and whether the negative part is below zero.
+
+    Rows end with a 1 for the bias.  Where the part is below zero the gradient
+    turns it back alone.
+    """
+    zp, zu = p @ w, u @ w
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    g_negative = (u.T @ _sigmoid(zu)) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)
+    value = prior * np.logaddexp(0, -zp).mean() + max(0.0, negative)
+    if negative < 0:
+        return value, -g_negative, True
+    return value, -prior * (p.T @ _sigmoid(-zp)) / len(p) + g_negative, False
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 500, prior: float | None = None) -> Model:
     """Minimises the non-negative risk with the logistic loss; without positives or unlabelled rows every score is 1/2."""
     if not len(positive) or not len(unlabelled):
@@ -128,31 +143,26 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 500, prior: f
     p, u = _with_one(p), _with_one(u)
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        zp, zu = p @ w, u @ w
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_negative = (u.T @ _sigmoid(zu)) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)
-        decay = 2e-4 * np.append(w[:-1], 0)
-        if negative < 0:
-            return -g_negative + decay
-        return -prior * (p.T @ _sigmoid(-zp)) / len(p) + g_negative + decay
+        return risk(w, p, u, prior)[1] + 2e-4 * np.append(w[:-1], 0)
 
     w, b = _descend(gradient, p.shape[1] - 1, steps)
     return Model(mean, scale, w, b, prior)
 
 
 def _sample(frame: DataFrame, id_col: str, text_col: str, n: int) -> np.ndarray:
-    """Features of about ``n`` rows of ``frame`` at most, chosen by a hash of the id."""
+    """Features of about ``n`` rows of ``frame``, chosen by a hash of id and text, and never more than 2 n: those of the smallest hashes."""
     total = frame.count()
     if not total:
         return np.zeros((0, N_FEATURES), np.float32)
     top = 1 << 30
-    chosen = frame if total <= n else frame.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(top)) < int(top * n / total))
+    place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(top))
+    chosen = frame if total <= n else frame.where(place < int(top * n / total))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.record_batch([pa.array([features(t).tobytes() for t in b.column(0).cast(pa.binary()).to_pylist()], pa.binary())], names=["x"])
+            yield pa.record_batch([pa.array([features(t).tobytes() for t in b.column(0).cast(pa.binary()).to_pylist()], pa.binary()), b.column(1)], names=["x", "place"])
 
-    rows = chosen.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "x binary").limit(2 * n).collect()
+    rows = chosen.select(F.col(text_col).cast("string").alias("text"), place.alias("place")).mapInArrow(run, "x binary, place long").orderBy("place", "x").limit(2 * n).collect()
     # in an order of their own, so the same rows give the same model however they were dealt
     ordered = sorted((bytes(r["x"]) for r in rows), key=lambda x: hashlib.sha256(x).digest())
     return np.frombuffer(b"".join(ordered), np.float32).reshape(-1, N_FEATURES)
