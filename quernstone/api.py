@@ -9,7 +9,7 @@ from quernstone import schema as S
 from quernstone.config import SplitterConfig, SynthesizerConfig
 from quernstone.operators import chunking, ingest, models, search, synthesis
 from quernstone.sources import readers
-from quernstone.sources.scratch import stored
+from quernstone.sources.scratch import drop, stored
 from quernstone.sources.store import StorageContext
 
 CHUNK_INDEX = "chunks"
@@ -39,14 +39,14 @@ class Engine:
                 self.context.docs.add(whole.unionByName(chunks.drop("n_tokens")))
                 pieces = chunks.where("ref_doc_id is not null")
                 links = chunking.links(pieces, fresh)
-                kept = self.context.edges.read().join(pieces.select(F.col("node_id").alias("src_id")), "src_id", "left_anti").select(*S.EDGES.fieldNames())
-                self.context.edges.write(kept.unionByName(links))
+                self.context.edges.replace(links.dropDuplicates(["src_id", "rel", "dst_id"]), ["src_id"])
                 self.context.vectors.add(models.embed(pieces.select("node_id", "text"), "text", self.embedder, batch=32))
-                known = self.context.docs.nodes.read().where("ref_doc_id is not null")
-                members = known.select(F.lit(CHUNK_INDEX).alias("index_id"), "node_id", F.col("ref_doc_id").alias("doc_id"))
+                members = pieces.select(F.lit(CHUNK_INDEX).alias("index_id"), "node_id", F.col("ref_doc_id").alias("doc_id"))
                 index = self.spark.range(1).select(F.lit(CHUNK_INDEX).alias("index_id"), F.lit(None).cast("string").alias("summary"), F.create_map().cast("map<string,string>").alias("extra"))
-                self.context.indexes.put(index, members)
-                self.context.cache.write(ingest.upsert(self.context.cache.read(), hashes, "node_id"))
+                self.context.indexes.put(index)
+                self.context.indexes.add_members(members)
+                self.context.cache.upsert(hashes.dropDuplicates(["node_id"]))
+                drop(chunks)
             return n
         finally:
             fresh.unpersist()
@@ -54,8 +54,7 @@ class Engine:
     def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, rank, node_id, text, metadata, score) for queries (query_id long, query)."""
         asked = models.embed(queries.select("query_id", "query"), "query", self.embedder, "query_vec")
-        numbered = self.context.vectors.read().select(F.xxhash64("node_id").alias("id"), "node_id", "embedding")
-        found = search.top_k_batch(numbered, asked, k, "id").join(numbered.select("id", "node_id"), "id").drop("id")
+        found = search.top_k_batch(self.context.vectors.read().select("node_id", "embedding"), asked, k, "node_id")
         return found.join(self.context.docs.nodes.read().select("node_id", "text", "metadata"), "node_id").select("query_id", "rank", "node_id", "text", "metadata", "score")
 
     def query(self, text: str, k: int = 3) -> list[tuple[str, float]]:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernstone import schema as S
 from quernstone.config import SplitterConfig
@@ -122,15 +124,24 @@ def links(chunks: DataFrame, parents: DataFrame | None = None) -> DataFrame:
 
 
 def chunk_numbers(sizes: Column, limit: int) -> Column:
-    """For an array of sizes in order, the chunk that each goes to when filled greedily without overlap (an array of ints)."""
-    zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
+    """For an array of sizes in order, the chunk that each goes to when filled greedily without overlap (an array of ints).
 
-    def step(acc: Column, n: Column) -> Column:
-        full = (acc["total"] > 0) & (acc["total"] + n > limit)
-        chunk = acc["chunk"] + F.when(full, 1).otherwise(0)
-        return F.struct((F.when(full, F.lit(0).cast("long")).otherwise(acc["total"]) + n).alias("total"), chunk.alias("chunk"), F.concat(acc["out"], F.array(chunk)).alias("out"))
+    In Arrow batches: a fold of the JVM would copy the array for each element.
+    """
 
-    return F.aggregate(sizes, zero, step)["out"]
+    def number(batch: pd.Series) -> pd.Series:
+        out = []
+        for row in batch:
+            total, chunk, own = 0, 0, []
+            for n in () if row is None else row.tolist():
+                if total > 0 and total + n > limit:
+                    total, chunk = 0, chunk + 1
+                total += n
+                own.append(chunk)
+            out.append(None if row is None else own)
+        return pd.Series(out)
+
+    return F.pandas_udf(number, T.ArrayType(T.IntegerType()))(sizes)
 
 
 # ---- by meaning ----

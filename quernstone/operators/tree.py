@@ -131,8 +131,7 @@ def save(nodes: DataFrame, edges: DataFrame, context: StorageContext) -> str:
     text = F.lit("Text").alias("dst_type")
     down = edges.select("src_id", "rel", F.col("ord").cast("int").alias("ord"), "dst_id", text, none.cast("string").alias("dst_hash"))
     up = edges.select(F.col("dst_id").alias("src_id"), F.lit("PARENT").alias("rel"), F.col("ord").cast("int").alias("ord"), F.col("src_id").alias("dst_id"), text, none.cast("string").alias("dst_hash"))
-    kept = context.edges.read().join(down.unionByName(up).select("src_id", "rel", "dst_id"), ["src_id", "rel", "dst_id"], "left_anti").select(*S.EDGES.fieldNames())
-    context.edges.write(kept.unionByName(down).unionByName(up))
+    context.edges.upsert(down.unionByName(up).dropDuplicates(["src_id", "rel", "dst_id"]))
     spark = nodes.sparkSession
     index = spark.range(1).select(F.lit(name).alias("index_id"), none.cast("string").alias("summary"), F.create_map(F.lit("root_node_ids"), F.lit(json.dumps(found))).alias("extra"))
     context.indexes.put(index, nodes.select(F.lit(name).alias("index_id"), "node_id", none.cast("string").alias("doc_id")))

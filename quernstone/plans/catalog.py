@@ -151,12 +151,6 @@ def vector_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.delete(e, e.where("label = 3"), "vec_id").select("vec_id")
 
 
-@query("SELECT doc_id, lang, source FROM documents")
-def export_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = docs(spark, sf_dir).select(F.to_json(F.struct("doc_id", "lang", "source")).alias("line"))
-    return lines.select(F.from_json("line", "doc_id long, lang string, source string").alias("r")).select("r.*")
-
-
 @query(f"""
 WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS r2, lead(text) OVER w AS t2, coalesce(lag(text) OVER w, '') AS t0 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, turn, '{export.INSTRUCTION}' AS instruction, 'Context: ' || t0 || chr(10) || chr(10) || 'Question: ' || text AS input, t2 AS output FROM t WHERE role = 'user' AND r2 = 'assistant'""")
@@ -387,27 +381,6 @@ def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "chunk").agg(F.sum("sizes").alias("n_tokens"))
 
 
-def _document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.text_nodes(docs(spark, sf_dir), F.col("text"), S.metadata(genre=F.col("lang"), file_path=F.col("source")))
-
-
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quernstone.config import SplitterConfig
-
-    return chunking.sentence_chunks(_document_nodes(spark, sf_dir), SplitterConfig(chunk_size=128, chunk_overlap=16))
-
-
-@query()
-def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir).select("ref_doc_id", "ord", "node_id", "n_tokens", F.length("text").alias("n_chars"))
-
-
-@query()
-def chunk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _document_nodes(spark, sf_dir)
-    return chunking.links(_chunks(spark, sf_dir).dropDuplicates(["ref_doc_id", "ord"]), nodes)
-
-
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings(spark, sf_dir).select(F.floor(F.col("vec_id") / 25).cast("long").alias("run"), (F.col("vec_id") % 25).alias("pos"), "embedding")
 
@@ -451,15 +424,6 @@ def compact_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.size(synthesis.pack(F.transform(texts, F.length), texts, 0, 0, 400)).alias("n_chunks"))
 
 
-@query("SELECT item_id, 'Context:' AS first_line, 1 AS n_calls FROM benchmark")
-def query_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark text as a question whose retrieved context is the text itself, answered by an echo."""
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    retrieve = lambda q: q.select("query_id", F.lit(1).alias("rank"), F.col("query").alias("text"), F.lit(1.0).alias("score"))
-    out = synthesis.query_engine(asked, retrieve, [lambda df: rescoring.similarity_cutoff(df, 0.5)], models.Echo())
-    return out.select(F.col("query_id").alias("item_id"), F.get(F.split("answer", "\n"), F.lit(0)).alias("first_line"), "n_calls")
-
-
 def _replied(spark: SparkSession, sf_dir: str, reply: Column) -> DataFrame:
     meta = S.metadata(genre=F.col("lang"), extra=F.create_map(F.lit("n_chars"), F.col("n_chars").cast("string")))
     return docs(spark, sf_dir).select("doc_id", F.lit(None).cast("string").alias("node_id"), F.lit(S.TEXT).alias("kind"), "text", F.lit(None).cast("binary").alias("bytes"), meta.alias("metadata"), reply.alias("reply"))
@@ -510,7 +474,7 @@ def eval_relevancy_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select(F.concat_ws(":", F.lit("doc"), "doc_id").alias("node_id"), tree.group_key(F.col("source")).alias("key"), F.col("doc_id").cast("int").alias("ord"), "text")
+    return docs(spark, sf_dir).select(F.concat_ws(":", F.lit("doc"), "doc_id").alias("node_id"), tree.group_key(F.col("source")).alias("key"), F.col("doc_id").cast("long").alias("ord"), "text")
 
 
 _BUCKETS = "SELECT doc_id, text, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS bucket FROM documents"

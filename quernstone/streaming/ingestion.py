@@ -32,7 +32,7 @@ def start(stream: DataFrame, context: StorageContext, transformations: list[inge
         batch.persist()
         try:
             fresh, hashes = ingest.run(batch, transformations, docstore_hashes=context.docs.hashes.read())
-            context.docs.nodes.write(ingest.upsert(context.docs.nodes.read(), fresh.select(*S.NODES.fieldNames()).dropDuplicates(["node_id"]), "node_id"))
+            context.docs.nodes.upsert(fresh.select(*S.NODES.fieldNames()).dropDuplicates(["node_id"]))
             context.docs.set_hashes(hashes)
         finally:
             batch.unpersist()

@@ -78,7 +78,7 @@ def test_triplets_as_lines_of_json(spark, tmp_path):
 
 
 def test_a_table_flips_versions_and_survives_a_failed_write(spark, tmp_path):
-    t = Table(spark, str(tmp_path), "t", spark.range(0).schema)
+    t = Table(spark, str(tmp_path), "t", spark.range(0).schema, ("id",))
     assert t.read().count() == 0
     t.write(spark.range(2))
     t.write(t.read().unionByName(spark.range(5, 6)))
