@@ -15,7 +15,9 @@ brings a cell's points together, in order.  A cell gives a spanning forest of
 its links and not its pairs, each tree grown from a point in the middle of its
 neighbours, which most tables choose alike, so they name few edges between them.  A cell of more than ``cell_points`` is
 only counted there; its points then come again, dealt into chunks, and each pair
-of chunks is compared in a task of its own.
+of chunks is compared in a task of its own.  A pair of chunks names only edges
+that join what either chunk has apart, so the edges of a large group grow with
+its points and not with its pairs of chunks.
 
 Near copies by the similarity of shingle sets take the grid's components as
 candidates and compare the sets themselves within each (``near``).
@@ -152,12 +154,34 @@ def masks(table: list[int], bits: int, segment: int) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in out]
 
 
-def forest(words: np.ndarray, distance: int, segment: int = 2, block: int = 256) -> list[tuple[int, int]]:
+def joining(n: int, known: list[tuple[int, int]], edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of ``edges``, in turn, that join points which ``known`` ones and the edges before leave apart."""
+    up = list(range(n))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for some, new in ((known, False), (edges, True)):
+        for edge in some:
+            a, b = find(edge[0]), find(edge[1])
+            if a != b:
+                up[b] = a
+                if new:
+                    out.append(edge)
+    return out
+
+
+def forest(words: np.ndarray, distance: int, segment: int = 2, chunks: np.ndarray | None = None, block: int = 256) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among some distinct fingerprints, given as (n, words) numbers.
 
     A tree grows from the point nearest to the bitwise majority of its first
     point's neighbours: of a group of near copies mostly the same one, whichever
-    of them a cell holds.
+    of them a cell holds.  Where the points are of two ``chunks``, the edges are
+    those between what each chunk links by itself.
     """
     n, counts = len(words), embed(words, segment)
     close = np.zeros((n, n), bool)
@@ -171,6 +195,13 @@ def forest(words: np.ndarray, distance: int, segment: int = 2, block: int = 256)
             near[a, b] = np.bitwise_count(words[i + a] ^ words[i + b]).sum(axis=1) <= distance
         close[i : i + block, i:] |= near
         close[i:, i : i + block] |= near.T
+    edges = _trees(close, words)
+    if chunks is None or (chunks == chunks[0]).all() or not edges:
+        return edges
+    return joining(n, _trees(close & (chunks[:, None] == chunks), words), edges)
+
+
+def _trees(close: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
     left, edges = close.sum(axis=1) > 1, []
     while left.any():
         around = np.flatnonzero(close[left.argmax()] & left)
@@ -196,7 +227,7 @@ def _near(words: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int, segmen
     return near
 
 
-def _edges(keys: np.ndarray, words: np.ndarray, distance: int, segment: int, cell_points: int) -> tuple[list[np.ndarray], list[np.ndarray], list[tuple[int, int]]]:
+def _edges(keys: np.ndarray, chunks: np.ndarray | None, words: np.ndarray, distance: int, segment: int, cell_points: int) -> tuple[list[np.ndarray], list[np.ndarray], list[tuple[int, int]]]:
     """Links within runs of equal keys, and the keys and sizes of the runs of over ``cell_points``, which are not searched."""
     starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
     sizes = np.diff(np.append(starts, len(keys)))
@@ -212,7 +243,7 @@ def _edges(keys: np.ndarray, words: np.ndarray, distance: int, segment: int, cel
     for s, n in zip(starts[sizes > 3].tolist(), sizes[sizes > 3].tolist(), strict=True):
         if n > cell_points:
             large.append((s, n))
-        elif found := forest(words[s : s + n], distance, segment):
+        elif found := forest(words[s : s + n], distance, segment, None if chunks is None else chunks[s : s + n]):
             x = np.array(found)
             a.append(s + x[:, 0])
             b.append(s + x[:, 1])
@@ -220,7 +251,7 @@ def _edges(keys: np.ndarray, words: np.ndarray, distance: int, segment: int, cel
 
 
 def _searcher(n_keys: int, width: int, distance: int, segment: int, cell_points: int):
-    """A function over batches of sorted rows (keys..., words...): edges (a, b), and (cell, n) of cells of more points than are held."""
+    """A function over batches of sorted rows (keys..., words...), with the point's chunk last in the keys where there are several: edges (a, b), and (cell, n) of cells of more points than are held."""
 
     def batch(words: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], large: list[tuple[int, int]]) -> pa.RecordBatch:
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -234,7 +265,8 @@ def _searcher(n_keys: int, width: int, distance: int, segment: int, cell_points:
         skipped: list = []  # the cell that is only counted, and its points so far
 
         def work(whole: int) -> pa.RecordBatch:
-            a, b, large = _edges(keys[:whole], words[:whole], distance, segment, cell_points)
+            own, chunks = (keys[:whole, :-1], keys[:whole, -1]) if n_keys > 1 else (keys[:whole], None)
+            a, b, large = _edges(own, chunks, words[:whole], distance, segment, cell_points)
             return batch(words[:whole], a, b, [(int(keys[s, 0]), n) for s, n in large])
 
         for part in it:
@@ -250,7 +282,8 @@ def _searcher(n_keys: int, width: int, distance: int, segment: int, cell_points:
             keys, words = np.concatenate([keys, more]), np.concatenate([words, more_words])
             if len(keys) < 4096:
                 continue
-            last = len(keys) - int((keys == keys[-1]).all(axis=1).sum())
+            own = keys[:, : max(1, n_keys - 1)]
+            last = len(keys) - int((own == own[-1]).all(axis=1).sum())
             if last:
                 yield work(last)
                 keys, words = keys[last:], words[last:]
@@ -294,9 +327,9 @@ def links(fps: DataFrame, bits: int, distance: int, tables: list[list[int]], seg
         k = F.ceil(F.col("n") / (cell_points // 2)).cast("int")
         chunk = F.pmod(F.xxhash64(*names), k).cast("int")
         rows = dealt.select(cell(F.col("t")).alias("cell"), *names).join(crowded, "cell").select("cell", *names, chunk.alias("c"), F.explode(F.sequence(F.lit(0), k - 1)).alias("j"))
-        rows = rows.select("cell", F.least("c", "j").cast("long").alias("i"), F.greatest("c", "j").cast("long").alias("j"), *names).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", *names)
+        rows = rows.select("cell", F.least("c", "j").cast("long").alias("i"), F.greatest("c", "j").cast("long").alias("j"), F.col("c").cast("long").alias("c"), *names).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "c", *names)
         # two chunks hold some cell_points; where the hash deals one more, they are searched all the same
-        rest = common.stored(rows.mapInArrow(_searcher(3, width, distance, segment, 1 << 62), kind), "crowded")
+        rest = common.stored(rows.mapInArrow(_searcher(4, width, distance, segment, 1 << 62), kind), "crowded")
         edges = edges.unionByName(rest.select("a", "b"))
     out = common.stored(edges.distinct(), "links")
     common.drop(found, *([rest] if rest else []))
@@ -433,27 +466,35 @@ def alike(sets: list[np.ndarray], similarity: tuple[int, int]) -> list[tuple[int
 
 
 def same(texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """(a, b): keys of texts that are alike by their exact shingle sets; ``texts`` has label, i, j, key and text, and those of a (label, i, j) are compared."""
+    """(a, b): keys of texts that are alike by their exact shingle sets, one edge for each that joins two groups.
+
+    ``texts`` has label, i, j, c, key and text; those of a (label, i, j) are
+    compared, and of two chunks ``c`` only what joins groups of both is named.
+    """
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, keys, sets = None, [], []
+        group, keys, sets, chunks = None, [], [], []
 
         def edges() -> pa.RecordBatch:
             found = alike(sets, similarity) if len(sets) > 1 else []
+            if found and chunks[0] != chunks[-1]:  # in order, so the first chunk's texts come first
+                m = chunks.index(chunks[-1])
+                found = joining(len(sets), alike(sets[:m], similarity) + [(a + m, b + m) for a, b in alike(sets[m:], similarity)], found)
             return pa.record_batch([pa.array([keys[e[x]] for e in found], pa.binary()) for x in (0, 1)], names=["a", "b"])
 
         for b in it:
-            for *of, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *of, chunk, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if of != group:
                     yield edges()
-                    group, keys, sets = of, [], []
+                    group, keys, sets, chunks = of, [], [], []
                 elif key == keys[-1]:
                     continue  # rows that repeat an id and a text
                 keys.append(key)
+                chunks.append(chunk)
                 sets.append(np.unique(shingle_hashes((text or "").encode("utf-8", "surrogatepass"), words)))
         yield edges()
 
-    rows = texts.select("label", "i", "j", "key", "text").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "key")
+    rows = texts.select("label", "i", "j", "c", "key", "text").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "c", "key")
     return rows.mapInArrow(search, "a binary, b binary").distinct()
 
 
@@ -485,7 +526,7 @@ def near(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int, dis
     crowd = common.stored(placed.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1"), "crowd")
     k = F.greatest(F.ceil(F.col("n") / chunk_texts), F.ceil(F.col("bytes") / chunk_bytes)).cast("int")
     dealt = placed.join(crowd, "label").select(F.col("id").alias("_i"), F.col("key").alias("_k"), "label", F.pmod(F.xxhash64("key"), k).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), k - 1)).alias("j"))
-    dealt = common.stored(dealt.select("_i", "_k", "label", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j")), "candidates")
+    dealt = common.stored(dealt.select("_i", "_k", "label", F.least("c", "j").alias("i"), F.greatest("c", "j").alias("j"), "c"), "candidates")
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("_key", digest(F.col("text")))
     pairs = common.stored(same(_by_key(texts, dealt, "inner").withColumn("key", F.col("_key")), words, similarity), "pairs")
     labels = components(pairs)
