@@ -7,6 +7,7 @@ from typing import Protocol
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A phrase with the mark that closes it; ASCII question and exclamation marks close none.
 PHRASE = r"[^,.;。？！]+[,.;。？！]?|[,.;。？！]"
@@ -43,6 +44,19 @@ class RegexTokenizer:
         return sum(1 for _ in self._token.finditer(text))
 
 
+class ByteTokenizer:
+    """The bytes of the UTF-8 text: any text goes there and back."""
+
+    def encode(self, text: str) -> list[int]:
+        return list(text.encode())
+
+    def decode(self, tokens: list[int]) -> str:
+        return bytes(tokens).decode()
+
+    def count(self, text: str) -> int:
+        return len(text.encode())
+
+
 class RankTokenizer:
     """A byte-pair encoding from a file of base64 tokens and ranks, by tiktoken; one for each process."""
 
@@ -72,6 +86,16 @@ class RankTokenizer:
         return len(self.encode(text))
 
 
+def encoded(text: Column, tokenizer: Tokenizer) -> Column:
+    """Token numbers of each text, in Arrow batches."""
+    return F.pandas_udf(lambda batch: batch.map(lambda t: None if t is None else tokenizer.encode(t)), T.ArrayType(T.IntegerType()))(text)
+
+
+def decoded(tokens: Column, tokenizer: Tokenizer) -> Column:
+    """The texts that token numbers stand for."""
+    return F.pandas_udf(lambda batch: batch.map(lambda t: None if t is None else tokenizer.decode([int(x) for x in t])), T.StringType())(tokens)
+
+
 def token_count(text: Column) -> Column:
     """Tokens of the built-in tokenizer, in the JVM."""
     return F.regexp_count(text, F.lit(TOKEN)).cast("long")

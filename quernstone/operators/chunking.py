@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -185,3 +185,20 @@ def semantic_chunks(sentences: DataFrame, ids: DataFrame, doc: str = "doc_id", p
     rows = sentences.join(ids, [doc, pos])
     ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))
     return rows.groupBy(doc, "chunk").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), " ").alias("text"))
+
+
+def semantic_nodes(nodes: DataFrame, embed: Callable[[DataFrame], DataFrame], percent: float = 95.0, most: int = 1000, buffer: int = 1) -> DataFrame:
+    """Nodes split where the meaning shifts, each with its source's metadata and exclude-lists, ``ref_doc_id`` and ``ord``.
+
+    ``embed`` adds ``embedding`` to rows with ``text``.  Nodes that aren't text,
+    or have no sentence, pass as they are; nodes that are equal are split once.
+    """
+    doc = F.sha2(F.concat_ws(":", "node_id", "node_hash").cast("binary"), 256)
+    keyed = nodes.withColumn("_doc", doc)
+    distinct = keyed.where(F.col("kind") == S.TEXT).dropDuplicates(["_doc"]).select("_doc", F.posexplode(TX.sentences(F.col("text"))).alias("pos", "text"))
+    rows = embed(distinct)
+    pieces = semantic_chunks(rows, semantic_chunk_ids(rows, semantic_distances(rows, "_doc", buffer=buffer), "_doc", percent=percent, most=most), "_doc")
+    made = keyed.join(pieces.select("_doc", "chunk", F.col("text").alias("_chunk")), "_doc", "left")
+    whole = F.col("_chunk").isNull()
+    made = made.withColumn("ref_doc_id", F.when(whole, F.col("ref_doc_id")).otherwise(F.col("node_id"))).withColumn("ord", F.when(whole, F.col("ord")).otherwise(F.col("chunk")))
+    return S.with_identity(made.withColumn("text", F.coalesce("_chunk", "text")).drop("_doc", "_chunk", "chunk"))

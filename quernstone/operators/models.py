@@ -24,6 +24,15 @@ from quernstone.functions import text as TX
 class LanguageModel(Protocol):
     def complete(self, prompt: str) -> str: ...
 
+    def stream_complete(self, prompt: str) -> Iterator[str]: ...
+
+
+class _Whole:
+    """A model that has its reply whole: the stream is one part."""
+
+    def stream_complete(self, prompt: str) -> Iterator[str]:
+        yield self.complete(prompt)
+
 
 class Embedder(Protocol):
     dimension: int
@@ -31,7 +40,7 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
-class Echo:
+class Echo(_Whole):
     """Replies with its prompt."""
 
     def complete(self, prompt: str) -> str:
@@ -39,7 +48,7 @@ class Echo:
 
 
 @dataclass(frozen=True)
-class Fixed:
+class Fixed(_Whole):
     """Replies with one text."""
 
     reply: str
@@ -49,7 +58,7 @@ class Fixed:
 
 
 @dataclass(frozen=True)
-class Scripted:
+class Scripted(_Whole):
     """Replies by a function, which must be importable where tasks run."""
 
     reply: Callable[[str], str]
@@ -67,15 +76,28 @@ class ChatEndpoint:
     key: str = ""
     timeout: float = 60.0
 
-    def complete(self, prompt: str) -> str:
-        body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}]}).encode()
+    def _ask(self, prompt: str, **more):
+        body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}], **more}).encode()
         headers = {"Content-Type": "application/json", **({"Authorization": f"Bearer {self.key}"} if self.key else {})}
-        with urllib.request.urlopen(urllib.request.Request(self.url, body, headers), timeout=self.timeout) as reply:
+        return urllib.request.urlopen(urllib.request.Request(self.url, body, headers), timeout=self.timeout)
+
+    def complete(self, prompt: str) -> str:
+        with self._ask(prompt) as reply:
             return json.load(reply)["choices"][0]["message"]["content"]
 
+    def stream_complete(self, prompt: str) -> Iterator[str]:
+        """The reply's parts as the service sends them, as events of a line each."""
+        with self._ask(prompt, stream=True) as reply:
+            for line in reply:
+                event = line.decode().strip().removeprefix("data:").strip()
+                if event == "[DONE]":
+                    return
+                if event.startswith("{") and (part := json.loads(event)["choices"][0].get("delta", {}).get("content")):
+                    yield part
+
 
 @dataclass(frozen=True)
-class GenerateEndpoint:
+class GenerateEndpoint(_Whole):
     """A generation service that takes contents of parts and answers with candidates."""
 
     url: str

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quernstone import schema as S
 from quernstone.config import SplitterConfig, SynthesizerConfig
+from quernstone.functions import text as TX
 from quernstone.operators import chunking, export, ingest, models, rescoring, search, synthesis, tree
 from quernstone.plans.catalog import _COS, _PHRASES, docs, embeddings, query, table
 from quernstone.sources import readers, scratch, store
@@ -124,6 +125,34 @@ def chunk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.links(_chunked(_one_each(spark, sf_dir))).drop("dst_hash")
 
 
+_BUFFERED = """WITH r AS (SELECT vec_id // 25 AS run, vec_id % 25 AS pos, list(embedding::DOUBLE[]) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS a, list(embedding::DOUBLE[]) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS b FROM embeddings WINDOW w AS (PARTITION BY vec_id // 25 ORDER BY vec_id)),
+m AS (SELECT run, pos, list_transform(range(1, 65), lambda i: list_avg(list_transform(a, lambda v: v[i]))) AS x, list_transform(range(1, 65), lambda i: list_avg(list_transform(b, lambda v: v[i]))) AS y FROM r WHERE len(b) > 0)
+SELECT run, pos, round(1 - list_cosine_similarity(x, y), 6) AS dist FROM m"""
+
+
+@query(_BUFFERED)
+def semantic_distances_of_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the means of two vectors on either side."""
+    runs = embeddings(spark, sf_dir).select(F.floor(F.col("vec_id") / 25).cast("long").alias("run"), (F.col("vec_id") % 25).alias("pos"), "embedding")
+    return chunking.semantic_distances(runs, "run", "pos", buffer=2).withColumn("dist", F.round("dist", 6))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'fr' THEN 'purged' ELSE 'text' END AS kind, sha256(text) AS content_sha FROM documents")
+def purged_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of purged nodes, read again from their cached tokens."""
+    rows = docs(spark, sf_dir).select("doc_id", "lang", "text", F.lit(S.TEXT).alias("kind"), F.lit(None).cast("binary").alias("bytes"), F.col("doc_id").cast("string").alias("node_id"))
+    purged = S.purge(S.cache_tokens(rows, TX.ByteTokenizer()), F.col("lang") == "fr")
+    return S.readable(purged, TX.ByteTokenizer(), strict=True).select("doc_id", "kind", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha"))
+
+
+@query("SELECT DISTINCT sha256('about ' || lang) AS prompt_hash, 'about ' || lang AS reply FROM documents WHERE lang <> 'en'")
+def prompt_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New memo rows: prompts that a memo of the English ones lacks, sent once each."""
+    prompts = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("about "), F.col("lang")).alias("prompt"))
+    known = models.complete_once(prompts.where("prompt = 'about en'"), "prompt", models.Echo())[1]
+    return models.complete_once(prompts, "prompt", models.Echo(), known)[1].select("prompt_hash", "reply")
+
+
 # ---- stores, changed and opened again ----
 
 _UNIQUE = f"(SELECT sha256(text) AS node_id, * FROM documents WHERE {_ONE_EACH})"

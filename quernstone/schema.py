@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.functions import text as TX
+
 METADATA = T.StructType([
     T.StructField("url", T.StringType()), T.StructField("file_path", T.StringType()), T.StructField("genre", T.StringType()),
     T.StructField("timestamp", T.TimestampType()), T.StructField("confidence", T.FloatType()), T.StructField("importance", T.FloatType()),
@@ -85,10 +87,29 @@ def content(kind: Column, text: Column, data: Column | None = None) -> Column:
     return F.when(kind == TEXT, text).when(kind == BINARY, F.format_string("<Binary data: %d bytes>", size)).when(kind == IMAGE, F.lit("<Image data>"))
 
 
+def cache_tokens(df: DataFrame, tokenizer: TX.Tokenizer) -> DataFrame:
+    """``tokens`` of the text nodes, by which a purged one can be read again."""
+    return df.withColumn("tokens", F.when(F.col("kind") == TEXT, TX.encoded(F.col("text"), tokenizer)))
+
+
+def readable(df: DataFrame, tokenizer: TX.Tokenizer | None = None, out: str = "content", strict: bool = False) -> DataFrame:
+    """``df`` with what readers see of each node; a purged node's text comes from its cached tokens.
+
+    Without a tokenizer, or without tokens, a purged node has none: null, or an
+    error where ``strict``.
+    """
+    if tokenizer is None:
+        lost = F.raise_error(F.concat(F.lit("content was purged: "), F.col("node_id"))).cast("string") if strict else F.lit(None).cast("string")
+    else:
+        missing = F.raise_error(F.concat(F.lit("purged without tokens: "), F.col("node_id"))).cast("string") if strict else F.lit(None).cast("string")
+        lost = F.when(F.col("tokens").isNotNull(), TX.decoded(F.col("tokens"), tokenizer)).otherwise(missing)
+    return df.withColumn(out, F.when(F.col("kind") == PURGED, lost).otherwise(content(F.col("kind"), F.col("text"), F.col("bytes"))))
+
+
 def purge(df: DataFrame, which: Column) -> DataFrame:
-    """Drops the text of the text nodes that ``which`` picks; other kinds stay."""
+    """Drops the text of the text nodes that ``which`` picks, and keeps cached tokens; other kinds stay."""
     hit = which & (F.col("kind") == TEXT)
-    return df.withColumn("text", F.when(~F.coalesce(hit, F.lit(False)), F.col("text"))).withColumn("kind", F.when(hit, PURGED).otherwise(F.col("kind")))
+    return df.withColumns({"text": F.when(~F.coalesce(hit, F.lit(False)), F.col("text")), "kind": F.when(hit, PURGED).otherwise(F.col("kind"))})
 
 
 def render_metadata(meta: Column, excluded: Column | None = None, template: str = "{key}: {value}", separator: str = "\n") -> Column:
