@@ -152,9 +152,11 @@ def build(vectors: DataFrame, dim: int, square: float, fan: int = 64, page_rows:
         below = common.stored(below.select("cell", "n", (flat | (F.col("n") <= page_rows)).alias("leaf"), F.concat("chain", F.array(one)).cast(_CHAIN).alias("chain")), "mtree-nodes")
         leaves, inner = below.where("leaf").drop("leaf"), below.where("not leaf").drop("leaf")
         done.append((common.stored(_pages(dealt, leaves, dim, page_rows), "mtree"), below))
-        last, rest = rest, common.stored(dealt.join(inner.select("cell"), "cell", "left_semi").select("cell", "vec_id", "row", "vec"), "mtree-rows")
+        nodes, left, n_nodes, last = inner, 0, inner.count(), rest
+        if n_nodes:
+            rest = common.stored(dealt.join(inner.select("cell"), "cell", "left_semi").select("cell", "vec_id", "row", "vec"), "mtree-rows")
+            left = rest.count()
         common.drop(last, dealt, pivots)
-        nodes, left, n_nodes = inner, rest.count(), max(1, inner.count())
     common.drop(rest)
     every = done[0][0]
     for pages, _ in done[1:]:
