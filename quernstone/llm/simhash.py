@@ -441,6 +441,33 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, key binary, fp binary, size long")
 
 
+def prefix_edges(docs: DataFrame, text_col: str, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b), stored: edges between keys of texts, whose components hold every pair of the similarity: the exact candidates.
+
+    Of n shingles in the order of their hashes, two texts of a similarity s share
+    one among each one's first n - ceil(s n) + 1.  Texts that share such a shingle
+    are joined to the least of them, so a common shingle gives a star.
+    """
+    num, den = similarity
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for k in range(0, b.num_rows, 200):
+                keys, shingles = [], []
+                for t in b.column(0).slice(k, 200).cast(pa.binary()).to_pylist():
+                    own = np.unique(shingle_hashes(t, words))
+                    first = own[: len(own) - (num * len(own) + den - 1) // den + 1] if len(own) else np.zeros(1, np.uint64)  # texts without words are alike
+                    keys += [hashlib.md5(t or b"", usedforsecurity=False).digest()] * len(first)
+                    shingles.append(first.view(np.int64))
+                yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(np.concatenate([np.zeros(0, np.int64), *shingles]))], names=["key", "shingle"])
+
+    held = common.stored(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key binary, shingle long").distinct(), "prefixes")
+    least = common.stored(held.groupBy("shingle").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
+    out = common.stored(held.join(least, "shingle").where("key != b").select(F.col("key").alias("a"), "b").distinct(), "links")
+    common.drop(held, least)
+    return out
+
+
 def alike(sets: list[np.ndarray], similarity: tuple[int, int]) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the pairs of sets whose Jaccard similarity is the fraction ``similarity`` or more."""
     n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
@@ -505,23 +532,28 @@ def _by_key(big: DataFrame, slim: DataFrame, how: str) -> DataFrame:
     return big.join(slim, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")), how)
 
 
-def near(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int, distance: int, similarity: tuple[int, int], tables: list[list[int]] | None = None, chunk_texts: int = 1024, chunk_bytes: int = 16 << 20) -> DataFrame:
+def near(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int, distance: int, similarity: tuple[int, int], tables: list[list[int]] | None = None, chunk_texts: int = 1024, chunk_bytes: int = 16 << 20, exact: bool = False) -> DataFrame:
     """(id, key, first_id, first_key) for every row, stored, by links between texts whose shingle sets have a Jaccard ``similarity`` or more.
 
     ``key`` is the text's digest; rows of one text are one point.  Components of
     the grid's links within ``distance`` are the candidates; within each, all
     pairs are compared by their shingles, and only the pairs that are alike link.
     A component of more than ``chunk_texts`` or ``chunk_bytes`` is dealt into
-    chunks, and each pair of chunks is compared in a task of its own.  A group's
-    first row is that with the smallest id, null ids last, then the smallest key.
+    chunks, and each pair of chunks is compared in a task of its own.  Where
+    ``exact``, candidates come of shared shingles instead and no pair is missed;
+    passages that many texts share then make large components.  A group's first row is that with the smallest id, null ids last, then the smallest key.
     """
     found = common.stored(sketches(docs, id_col, text_col, words, bits), "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")
     distinct = common.stored(found.groupBy("key").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), first).select("key", "fp", "size", F.col("first.id").alias("id")), "distinct")
-    points = common.stored(distinct.select("fp").distinct(), "points")
-    edges = links(points, bits, distance, near_tables(points.count()) if tables is None else tables, segment=1)
+    point = "key" if exact else "fp"
+    points = common.stored(distinct.select(point).distinct(), "points")
+    if exact:
+        edges = prefix_edges(docs, text_col, words, similarity)
+    else:
+        edges = links(points, bits, distance, near_tables(points.count()) if tables is None else tables, segment=1)
     grid = components(edges)
-    placed = common.stored(distinct.join(grid, distinct["fp"] == grid["node"], "left").select("key", "id", "size", F.coalesce("label", "fp").alias("label")), "placed")
+    placed = common.stored(distinct.join(grid, distinct[point] == grid["node"], "left").select("key", "id", "size", F.coalesce("label", point).alias("label")), "placed")
     common.drop(points, edges, grid)
     crowd = common.stored(placed.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1"), "crowd")
     k = F.greatest(F.ceil(F.col("n") / chunk_texts), F.ceil(F.col("bytes") / chunk_bytes)).cast("int")

@@ -57,3 +57,29 @@ def test_forests_join_what_brute_force_joins():
         assert up[a] != up[b]  # a forest
         up = [up[b] if x == up[a] else x for x in up]
     assert all(up[a] == up[b] for a, b in pairs)
+
+
+def test_exact_candidates_and_the_grid_give_what_all_pairs_give(spark):
+    rng = random.Random(12)
+    shared = [f"s{i}" for i in range(60)]  # a passage that many texts have
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 90))] + (shared if rng.random() < 0.4 else [])
+        for _ in range(rng.randrange(1, 5)):
+            copy = list(words)
+            for _ in range(rng.randrange(0, 5)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts += ["", None, "  "]
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            union = sets[i] | sets[j]
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(union):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for more in ({"exact": True}, {}):
+        got = simhash.near(df, "doc_id", "text", **{**simhash.NEAR, **more}).collect()
+        assert {r["id"]: r["first_id"] for r in got} == dict(enumerate(label))
