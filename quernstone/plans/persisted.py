@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quernstone import schema as S
 from quernstone.config import SplitterConfig, SynthesizerConfig
 from quernstone.functions import text as TX
-from quernstone.operators import chunking, export, ingest, models, rescoring, search, synthesis, tree
+from quernstone.operators import ann, chunking, export, ingest, models, rescoring, search, synthesis, tree
 from quernstone.plans.catalog import _COS, _PHRASES, docs, embeddings, query, table
 from quernstone.sources import readers, scratch, store
 from quernstone.sources.scratch import stored
@@ -261,6 +261,16 @@ def ingest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.run(_nodes(rows, F.lit(None).cast("string")), [lambda df: df.select("node_id")], cache=cache.read())[0]
 
 
+@query()
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kept index of cells: built of half of the vectors, opened again, added to, and asked for all of them."""
+    e, folder = embeddings(spark, sf_dir), _folder(spark, "index")
+    ann.VectorIndex.build(e.where("vec_id % 2 = 0"), folder, cells=16)
+    index = ann.VectorIndex(spark, folder)
+    index.add(e.where("vec_id % 2 = 1"))
+    return index.top_k(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), 10, 12, digits=6)
+
+
 # ---- questions over retrieved texts ----
 
 _ASKED, _CUT = 25, 0.2

@@ -7,12 +7,14 @@ import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quernstone import schema as S
 from quernstone.functions import text as TX
-from quernstone.operators import chunking, models
+from quernstone.operators import ann, chunking, models, search
+from quernstone.plans import catalog, persisted
 from quernstone.sources import scratch, store
 
 
@@ -112,3 +114,27 @@ def test_stored_tables_can_be_dropped(spark):
     scratch.drop(kept, spark.range(1))
     with pytest.raises(Exception, match="exist|FILE_NOT_EXIST|Path"):
         kept.collect()
+
+
+def test_a_kept_index_is_opened_added_to_and_searched(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    x = centres[rng.integers(0, 12, 900)] + 0.2 * rng.normal(size=(900, 16))
+    df = spark.createDataFrame([(f"v{i:03d}", [float(a) for a in v]) for i, v in enumerate(x)] + [("null", None)], "vec_id string, embedding array<double>").repartition(3)
+    ann.VectorIndex.build(df.where("vec_id < 'v600'"), str(tmp_path), cells=24)
+    index = ann.VectorIndex(spark, str(tmp_path))
+    index.add(df.where("vec_id >= 'v600'"))
+    asked = df.where("vec_id like 'v%0'").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    exact = {(r["query_id"], r["vec_id"]) for r in search.top_k_batch(df, asked, 5).collect()}
+    got = {(r["query_id"], r["vec_id"]) for r in index.top_k(asked, 5, 6, block=40).collect()}
+    assert len(got) == len(exact) == 450 and len(exact & got) >= 0.9 * len(exact)
+    every = {(r["query_id"], r["vec_id"]) for r in index.top_k(asked, 5, 24).collect()}
+    assert every == exact  # all cells probed
+    one = index.top_k(asked.limit(1), 5, 2)
+    assert "PartitionFilters: [cell" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_registered_index_s_recall(spark, sf_dir):
+    exact = {(r["query_id"], r["vec_id"]) for r in catalog.vector_topk_batch(spark, sf_dir).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in persisted.vector_index_topk(spark, sf_dir).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
