@@ -339,12 +339,20 @@ def links(fps: DataFrame, bits: int, distance: int, tables: list[list[int]], seg
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node of each linked node's component, by alternating large and small stars.
 
-    Edges alone are kept, one row for each.  The least neighbours are written
+    Edges alone are kept, one row for each.  At first every node hooks to its
+    least neighbour, and edges move to the nodes hooked to: where many tables
+    name edges between the same points, few are left.  The least neighbours are written
     before they are joined, so both sides of a star's join come straight from an
     exchange and the adaptive planner can split a hub's edges over tasks.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges, before = common.stored(edges, "edges"), None
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = common.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    half = common.stored(edges.join(least, "u").select(F.col("m").alias("x"), "v").distinct(), "half")
+    moved = half.join(least.select(F.col("u").alias("v"), F.col("m").alias("y")), "v").where("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+    last, edges = edges, common.stored(moved.unionByName(least.where("u != m").select("u", F.col("m").alias("v"))).distinct(), "edges")
+    common.drop(last, least, half)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = common.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
