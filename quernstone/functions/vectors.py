@@ -56,7 +56,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     first, last = column.offsets[0].as_py(), column.offsets[-1].as_py()
     flat = column.values.slice(first, last - first).fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
     if fits.all():
-        return flat.reshape(-1, dim)
+        return flat.reshape(len(column), dim)
     out = np.zeros((len(column), dim))
     out[fits] = flat[np.repeat(fits, lengths)].reshape(-1, dim)
     return out
@@ -64,4 +64,4 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def unit(m: np.ndarray) -> np.ndarray:
     n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+    return np.divide(m, n, out=np.zeros_like(m), where=(n > 0) & np.isfinite(n))

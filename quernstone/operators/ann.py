@@ -11,14 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from quernstone.functions import vectors as V
-from quernstone.operators.search import Best
-from quernstone.sources.scratch import stored
+from quernstone.operators import search
 
 #: Most cells of an index, so that its centroids can be sent to every task.
 MOST_CELLS = 4096
@@ -38,6 +35,28 @@ def centroids(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 1) -
     return c
 
 
+class Probes(search.Pairing):
+    """Rows of the cells around a query's nearest centroids."""
+
+    def __init__(self, centroids: np.ndarray, probes: int):
+        self.centroids, self.probes = centroids, probes
+
+    def of_queries(self, vectors: np.ndarray) -> np.ndarray:
+        return np.argsort(-(V.unit(vectors) @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
+
+    def of_rows(self, vectors: np.ndarray, cell: np.ndarray | None) -> np.ndarray | None:
+        return cell
+
+    def reads(self, asked: np.ndarray) -> Column:
+        return F.col("cell").isin(np.unique(asked).tolist())
+
+    def groups(self, asked: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, None]]:
+        mine = search.by_value(asked.ravel())
+        for cell, at in search.by_value(rows).items():
+            if cell in mine:
+                yield mine[cell] // asked.shape[1], at, None
+
+
 class VectorIndex:
     """An index in a folder that Spark can read and write."""
 
@@ -82,50 +101,13 @@ class VectorIndex:
         # few files for a cell, and several tasks for a large one
         dealt.hint("rebalance", "cell").write.mode(mode).partitionBy("cell").parquet(f"{self.folder}/cells")
 
-    def top_k(self, queries: DataFrame, k: int, probes: int, query_id: str = "query_id", query_vec: str = "query_vec", id_col: str = "vec_id", digits: int | None = None, block: int = 2048) -> DataFrame:
+    def top_k(self, queries: DataFrame, k: int, probes: int, query_id: str = "query_id", query_vec: str = "query_vec", id_col: str = "vec_id", digits: int | None = None, block: int = 2048, page: int | None = None) -> DataFrame:
         """(query_id, rank, id, score): the ``k`` best of the vectors in each query's ``probes`` nearest cells.
 
-        Queries come in blocks, each a broadcast; where there are several, each
-        one's candidates are written and its broadcast released before the next.
+        Few queries read the cells that they probe; many are held against pages of all
+        cells, each query against its own: see :func:`search.block_search`.
         """
-        spark, cells = self.spark, self.spark.read.parquet(f"{self.folder}/cells")
-        asked = queries.select(F.col(query_id).alias("q"), F.col(query_vec).cast("array<double>").alias("vec")).where("vec is not null")
-        q_type, kinds = to_arrow_type(asked.schema["q"].dataType), (asked.schema["q"].dataType.simpleString(), cells.schema["id"].dataType.simpleString())
-        blocks, parts = max(1, -(-asked.count() // block)), []
-        for b in range(blocks):
-            rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)).orderBy("q").collect()
-            if not rows:
-                continue
-            m = V.unit(np.array([r["vec"] for r in rows], np.float64))
-            near = np.argsort(-(m @ self.centroids.T), axis=1, kind="stable")[:, :probes]
-            by_cell = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
-            sent = spark.sparkContext.broadcast(([r["q"] for r in rows], m, by_cell))
-
-            def search(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                ids, m, by_cell = sent.value
-                best, kind = Best(k), None
-                for batch in it:
-                    kind = batch.schema.field(0).type
-                    own, x, cell = np.array(batch.column(0).to_pylist(), object), V.unit(V.matrix(batch.column(1), m.shape[1])), batch.column(2).to_numpy()
-                    for c in np.unique(cell).tolist():
-                        at, q = np.flatnonzero(cell == c), by_cell.get(c)
-                        if q is not None:
-                            score = m[q] @ x[at].T
-                            score = score if digits is None else np.round(score, digits)
-                            i, j = np.indices(score.shape)
-                            best.add(q[i.ravel()], score.ravel(), own[at[j.ravel()]])
-                if kind is not None:
-                    yield pa.record_batch([pa.array([ids[i] for i in best.q.tolist()], q_type), pa.array(best.x.tolist(), kind), pa.array(best.s)], names=["query_id", "id", "score"])
-
-            found = cells.where(F.col("cell").isin(list(by_cell))).select("id", "vec", "cell").mapInArrow(search, f"query_id {kinds[0]}, id {kinds[1]}, score double")
-            if blocks > 1:
-                found = stored(found, "index-block")
-                sent.destroy()
-            parts.append(found)
-        if not parts:
-            return asked.join(cells, F.lit(False)).select(F.col("q").alias(query_id), F.lit(0).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score"))
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-        return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query_id").alias(query_id), "rank", F.col("id").alias(id_col), "score")
+        rows = self.spark.read.parquet(f"{self.folder}/cells").select("id", "vec", "cell")
+        asked = queries.select(F.col(query_id).alias("q"), F.col(query_vec).alias("vec")).where("vec is not null")
+        found = search.block_search(rows, asked, k, digits, block, page, Probes(self.centroids, probes), self.centroids.shape[1])
+        return search.ranked(found, rows, asked, k, query_id, id_col)

@@ -134,6 +134,21 @@ def test_a_kept_index_is_opened_added_to_and_searched(spark, tmp_path):
     assert "PartitionFilters: [cell" in one._jdf.queryExecution().executedPlan().toString()
 
 
+def test_an_index_takes_many_queries_in_few_passes(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(rng.normal(size=(300, 8)))], "vec_id long, embedding array<double>")
+    index = ann.VectorIndex.build(df, str(tmp_path), cells=6)
+    asked = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    spark.sparkContext.setJobGroup("few", "few")
+    try:
+        few = {tuple(r) for r in index.top_k(asked, 5, 3, digits=6, block=10).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert few == {tuple(r) for r in index.top_k(asked, 5, 3, digits=6).collect()} == {tuple(r) for r in index.top_k(asked, 5, 3, digits=6, block=10, page=70).collect()}
+    assert len(few) == 1500 and jobs < 20  # 30 blocks would be as many passes over the cells
+
+
 def test_the_registered_index_s_recall(spark, sf_dir):
     exact = {(r["query_id"], r["vec_id"]) for r in catalog.vector_topk_batch(spark, sf_dir).collect()}
     found = {(r["query_id"], r["vec_id"]) for r in persisted.vector_index_topk(spark, sf_dir).collect()}
