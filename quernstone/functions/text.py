@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +55,27 @@ class ByteTokenizer:
     def decode(self, tokens: list[int]) -> str:
         return bytes(tokens).decode()
 
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """Tokens of a batch, without a Python object for each."""
+        raw = texts.cast(pa.binary())
+        _, ends, data = raw.buffers()
+        ends = np.frombuffer(ends, np.int32)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int32)
+        values = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(values), mask=raw.is_null())
+
+    def decode_all(self, tokens: pa.Array) -> pa.Array:
+        """Texts of a batch; an error where tokens are no bytes of UTF-8."""
+        ends = tokens.offsets.to_numpy()
+        values = tokens.values.slice(ends[0], ends[-1] - ends[0])
+        if values.null_count:
+            raise ValueError("a token is null")
+        values = values.to_numpy()
+        if len(values) and not 0 <= values.min() <= values.max() < 256:
+            raise ValueError("tokens must be in range(0, 256)")
+        known = np.packbits(tokens.is_valid().to_numpy(zero_copy_only=False), bitorder="little")
+        data = [pa.py_buffer(known), pa.py_buffer((ends - ends[0]).astype(np.int32)), pa.py_buffer(values.astype(np.uint8))]
+        return pa.Array.from_buffers(pa.binary(), len(tokens), data).cast(pa.string())
+
     def count(self, text: str) -> int:
         return len(text.encode())
 
@@ -86,14 +109,33 @@ class RankTokenizer:
         return len(self.encode(text))
 
 
+#: Texts whose tokens are Python lists at the same time, where a tokenizer has no way for whole batches.
+_AT_ONCE = 64
+
+
+def encode_batch(texts: pa.Array, tokenizer: Tokenizer) -> pa.Array:
+    if isinstance(tokenizer, ByteTokenizer):
+        return tokenizer.encode_all(texts)
+    kind = pa.list_(pa.int32())
+    parts = (texts.slice(i, _AT_ONCE).to_pylist() for i in range(0, len(texts), _AT_ONCE))
+    return pa.concat_arrays([pa.array([], kind), *(pa.array([None if t is None else tokenizer.encode(t) for t in part], kind) for part in parts)])
+
+
+def decode_batch(tokens: pa.Array, tokenizer: Tokenizer) -> pa.Array:
+    if isinstance(tokenizer, ByteTokenizer):
+        return tokenizer.decode_all(tokens)
+    parts = (tokens.slice(i, _AT_ONCE).to_pylist() for i in range(0, len(tokens), _AT_ONCE))
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if t is None else tokenizer.decode(t) for t in part], pa.string()) for part in parts)])
+
+
 def encoded(text: Column, tokenizer: Tokenizer) -> Column:
     """Token numbers of each text, in Arrow batches."""
-    return F.pandas_udf(lambda batch: batch.map(lambda t: None if t is None else tokenizer.encode(t)), T.ArrayType(T.IntegerType()))(text)
+    return F.arrow_udf(lambda batch: encode_batch(batch, tokenizer), T.ArrayType(T.IntegerType()))(text)
 
 
 def decoded(tokens: Column, tokenizer: Tokenizer) -> Column:
     """The texts that token numbers stand for."""
-    return F.pandas_udf(lambda batch: batch.map(lambda t: None if t is None else tokenizer.decode([int(x) for x in t])), T.StringType())(tokens)
+    return F.arrow_udf(lambda batch: decode_batch(batch, tokenizer), T.StringType())(tokens)
 
 
 def token_count(text: Column) -> Column:

@@ -102,7 +102,7 @@ def readable(df: DataFrame, tokenizer: TX.Tokenizer | None = None, out: str = "c
         lost = F.raise_error(F.concat(F.lit("content was purged: "), F.col("node_id"))).cast("string") if strict else F.lit(None).cast("string")
     else:
         missing = F.raise_error(F.concat(F.lit("purged without tokens: "), F.col("node_id"))).cast("string") if strict else F.lit(None).cast("string")
-        lost = F.when(F.col("tokens").isNotNull(), TX.decoded(F.col("tokens"), tokenizer)).otherwise(missing)
+        lost = F.when(F.col("tokens").isNotNull(), TX.decoded(F.when(F.col("kind") == PURGED, F.col("tokens")), tokenizer)).otherwise(missing)
     return df.withColumn(out, F.when(F.col("kind") == PURGED, lost).otherwise(content(F.col("kind"), F.col("text"), F.col("bytes"))))
 
 

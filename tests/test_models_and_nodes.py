@@ -5,9 +5,11 @@ from __future__ import annotations
 import base64
 import json
 import threading
+import tracemalloc
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,34 @@ def test_purged_texts_are_read_from_tokens(spark, tmp_path):
     assert read(S.purge(S.cache_tokens(nodes(spark, "é b"), tokenizer), F.lit(True)), tokenizer=tokenizer) == {"é b"}
 
 
+def test_only_purged_nodes_are_decoded(spark):
+    class Refusing(TX.RegexTokenizer):
+        def decode(self, tokens):
+            if len(tokens) != 1:
+                raise ValueError("not purged")
+            return "one"
+
+    purged = S.purge(S.cache_tokens(nodes(spark, "one", "two words"), Refusing()), F.col("text") == "one")
+    assert {r["content"] for r in S.readable(purged, Refusing()).collect()} == {"one", "two words"}
+
+
+def test_a_batch_of_bytes_is_encoded_within_few_times_its_size():
+    texts = pa.array(["", None, "été 🙂", *["word " * 2000] * 200, "z"])
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    tokens = TX.encode_batch(texts, TX.ByteTokenizer())
+    peak = tracemalloc.get_traced_memory()[1] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert peak < 8 * texts.nbytes
+    assert tokens.to_pylist()[:3] == [[], None, list("été 🙂".encode())] and TX.decode_batch(tokens, TX.ByteTokenizer()).equals(texts)
+    for cut in (slice(0, 0), slice(1, 3), slice(2, 204)):  # batches that don't begin where their buffers do
+        part = TX.encode_batch(texts[cut], TX.ByteTokenizer())
+        assert part.equals(tokens[cut]) and TX.decode_batch(tokens[cut], TX.ByteTokenizer()).equals(texts[cut])
+    for bad in ([[256]], [[-1]], [[0xC3]], [[None]]):
+        with pytest.raises((ValueError, pa.ArrowInvalid)):
+            TX.decode_batch(pa.array(bad, pa.list_(pa.int32())), TX.ByteTokenizer())
+
+
 def test_nodes_are_split_by_meaning(spark):
     text = "cats purr. cats sleep. cats purr. stones are hard. stones are grey. stones are hard."
     made = chunking.semantic_nodes(nodes(spark, text, "one."), lambda df: models.embed(df, "text", models.HashedBag(64)), percent=60.0).orderBy("ref_doc_id", "ord").collect()
